@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graylark.llm import confusable, mojibake, replies
+from graylark.llm import confusable, mojibake, replies, sentences
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -41,6 +41,10 @@ def p6_unified(spark: SparkSession, sf_dir: str) -> DataFrame:
     return confusable.unify(_table(spark, sf_dir, "risk_assessment"), "assessment_id", "from_address")
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentences.sentence_rows(_table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
 def queries() -> dict[str, Query]:
     return {k: v for k, v in globals().items() if k[:1] == "p" and k[1:2].isdigit() and callable(v)}
 
