@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graylark.llm import confusable, mojibake, replies, sentences
+from graylark.llm import confusable, mojibake, pii, replies, sentences
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -31,6 +31,16 @@ def p2_own_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replies.own_texts(_table(spark, sf_dir, "dataset"), "record_id", "text")
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = (("dataset", "record_id", "text"), ("risk_assessment", "assessment_id", "from_address"))
+    frames = [pii.mention_rows(_table(spark, sf_dir, tab), key, column, tab) for tab, key, column in parts]
+    return frames[0].unionByName(frames[1])
+
+
+def p5_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.redacted(_table(spark, sf_dir, "dataset"), "record_id", "text")
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = (("dataset", "record_id", "text"), ("risk_assessment", "assessment_id", "from_address"), ("domain_analysis", "assessment_id", "sender_domain"))
     frames = [confusable.cases(_table(spark, sf_dir, tab), key, column, tab) for tab, key, column in parts]
