@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graylark.llm import confusable, mojibake, pii, replies, sentences
+from graylark.llm import confusable, mojibake, neardup, pii, replies, sentences
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -31,6 +31,15 @@ def p2_own_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replies.own_texts(_table(spark, sf_dir, "dataset"), "record_id", "text")
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = neardup.similar_pairs(_table(spark, sf_dir, "dataset"), "record_id", "text", 0.7)
+    return pairs.selectExpr("id_a AS record_id_a", "id_b AS record_id_b")
+
+
+def p3_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.similar_groups(_table(spark, sf_dir, "dataset"), "record_id", "text", 0.7)
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = (("dataset", "record_id", "text"), ("risk_assessment", "assessment_id", "from_address"))
     frames = [pii.mention_rows(_table(spark, sf_dir, tab), key, column, tab) for tab, key, column in parts]
