@@ -91,6 +91,10 @@ def _odd(text: str) -> int:
     return n + len(LOST.findall(text)) * 2
 
 
+#: Texts without one of these hold no word that :func:`repair_word` changes.
+SUSPECT = re.compile(
+    "[Â-ô][\x80-\xbf€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸĽľŁłĄąŞşŻżĹĺŤťŹźŚś]|[√¬ƒ≈‚–—œŒ∆«»…ÀÃÕ┬├╨╤╬╧Γ][^\x00-\x7f]|[В-ЯВв][Ђ-ЏЁёђ-џЎўҐґІіЈјЅѕ\xa0-\xbf‚„…†‡€‰‹‘’“”•–—™›№\x98]"
+)
 SCRIPTS = re.compile("([A-Za-zÀ-ɏ])|([Ͱ-Ͽ])|([Ѐ-ԯ])|([　-鿿가-힣])|([֐-ۿ])|([ऀ-๿])")
 
 

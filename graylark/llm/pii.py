@@ -55,6 +55,7 @@ STREET = re.compile(
     rf"|(?i:p\.?{S}?o\.?{S}?box|post office box|postfach|apartado(?:{S}de{S}correos)?|boîte postale|caixa postal|skrytka pocztowa|posta kutusu){S}\d{{1,6}}(?:,{S}{CAP}(?:-{CAP})?)?)"
 )
 WORD = re.compile(f"[^\\W\\d_{LOST}]*[{LOST}]*[^\\W\\d_]+(?:[-’'][^\\W\\d_]+)*{LOST}*")
+PLAIN_WORD = re.compile("[^\\W\\d_]+(?:[-’'][^\\W\\d_]+)*")
 INITIAL = re.compile(rf"(?<![\w.])[^\W\d_a-zà-öø-ÿа-яёßıšśžźżłńćęą]{LOST}*\.(?={S}?\S)")
 GAP = re.compile(S)
 
@@ -136,7 +137,7 @@ def _with_map(text: str) -> tuple[str, list[int] | None]:
     at: list[int] = []
     last = 0
     changed = False
-    for m in mojibake.TOKEN.finditer(text):
+    for m in mojibake.TOKEN.finditer(text) if mojibake.SUSPECT.search(text) else ():
         new = mojibake.repair_word(m.group())
         if new != m.group():
             out.append(text[last : m.start()])
@@ -149,9 +150,10 @@ def _with_map(text: str) -> tuple[str, list[int] | None]:
         out.append(text[last:])
         at.extend(range(last, len(text)))
         text = "".join(out)
-    else:
+    plain = PLAIN_CASE.search(text)
+    if not changed and (plain or FOREIGN.search(text)):
         at = list(range(len(text)))
-    if PLAIN_CASE.search(text):
+    if plain:
         chars: list[str] = []
         to: list[int] = []
         for i, c in enumerate(text):
@@ -193,8 +195,9 @@ def _is_given(word: str) -> bool:
 
 
 def _people(text: str) -> list[tuple[int, int]]:
-    words = [(m.start(), m.end(), m.group()) for m in WORD.finditer(text)]
-    given = [k for k, w in enumerate(words) if _is_given(w[2])]
+    lost = LOST in text
+    words = [(m.start(), m.end(), m.group()) for m in (WORD if lost else PLAIN_WORD).finditer(text)]
+    given = [k for k, w in enumerate(words) if w[2].lower() in GIVEN or lost and _is_given(w[2])]
     initials = {m.start(): m.end() for m in INITIAL.finditer(text)}
     out = []
     taken: set[int] = set()
