@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graylark.llm import confusable, mojibake, neardup, pii, replies, sentences
+from graylark.llm import confusable, leakage, mixing, mojibake, neardup, overlap, pii, replies, sentences
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -40,6 +40,18 @@ def p3_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.similar_groups(_table(spark, sf_dir, "dataset"), "record_id", "text", 0.7)
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    val, test = _table(spark, sf_dir, "val"), _table(spark, sf_dir, "test")
+    found = overlap.overlaps(_table(spark, sf_dir, "train"), val.unionByName(test), "row_id", "text", 0.7)
+    splits = val.selectExpr("row_id AS eval_id", "'val' AS split").unionByName(test.selectExpr("row_id AS eval_id", "'test' AS split"))
+    return found.join(splits, "eval_id").selectExpr("split", "eval_id AS eval_row_id", "train_id AS train_row_id")
+
+
+def p4_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    splits = {name: _table(spark, sf_dir, name) for name in ("val", "test")}
+    return overlap.overlap_report(_table(spark, sf_dir, "train"), splits, "row_id", "text", "source", 0.7)
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = (("dataset", "record_id", "text"), ("risk_assessment", "assessment_id", "from_address"))
     frames = [pii.mention_rows(_table(spark, sf_dir, tab), key, column, tab) for tab, key, column in parts]
@@ -60,6 +72,22 @@ def p6_unified(spark: SparkSession, sf_dir: str) -> DataFrame:
     return confusable.unify(_table(spark, sf_dir, "risk_assessment"), "assessment_id", "from_address")
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "eval_items"), "doc_id", "item_id")
+
+
+def p7_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.passages(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "eval_items"), "doc_id", "item_id")
+
+
+def p8_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.manifest(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "mix_targets"))
+
+
+def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "mix_targets"))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.sentence_rows(_table(spark, sf_dir, "documents"), "doc_id", "text")
 
