@@ -1,0 +1,170 @@
+"""From a raw message to columns: headers, addresses, authentication results, body, links.
+
+Everything is an expression over the raw text.  Multipart and encoded messages need a MIME parser; they are split off
+by :func:`with_body` and go through one Arrow-batched function, so the others never leave the JVM.
+"""
+
+from __future__ import annotations
+
+import email
+import re
+from email.utils import parseaddr
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from graylark.functions.columns import collapse_blanks, strip
+from graylark.functions.constants import BLANKS
+
+#: How the lines of a header block begin: fields, continuations, a mailbox separator.
+HEADER_LINE = r"(?:From |[!-9;-~]*:|[\t ])"
+MECHANISMS = ("spf", "dkim", "dmarc")
+
+
+def header_block(raw: Column) -> Column:
+    """Everything before the first line that no header block holds."""
+    block = F.regexp_extract(raw, rf"(?s)\A(.*?)(?:\z|(?<=\n)(?!{HEADER_LINE}))", 1)
+    return F.when(raw.rlike(rf"\A{HEADER_LINE}"), block).otherwise(F.lit(""))
+
+
+def raw_body(raw: Column) -> Column:
+    """What follows the header block and one empty line."""
+    return F.regexp_replace(F.substr(raw, F.length(header_block(raw)) + 1), r"\A\r?\n", "")
+
+
+def _field(name: str) -> str:
+    return rf"(?i)(?:\A|\n){name}:[ \t]*([^\n]*(?:\n[\t ][^\n]*)*)"
+
+
+def header(block: Column, name: str) -> Column:
+    """First value of a field, '' if absent; a folded value keeps its line end."""
+    return F.regexp_replace(F.regexp_extract(block, _field(name), 1), r"[\r\n]+\z", "")
+
+
+def headers(block: Column, name: str) -> Column:
+    return F.regexp_extract_all(block, F.lit(_field(name)), F.lit(1))
+
+
+def address(value: Column) -> Column:
+    """The address of a From-like value: what the angle brackets hold, else the whole value."""
+    return F.when(F.contains(value, F.lit("<")), strip(F.regexp_extract(value, "<([^<>]*)>", 1))).otherwise(F.when(F.contains(value, F.lit("@")), strip(value)).otherwise(F.lit("")))
+
+
+def display_name(value: Column) -> Column:
+    """The display name before the angle brackets, without quotes."""
+    before = F.when(F.contains(value, F.lit("<")), F.substring_index(value, "<", 1)).otherwise(F.lit(""))
+    return strip(F.regexp_replace(strip(before), r'\A"|"\z', ""))
+
+
+def domain(addr: Column) -> Column:
+    """Lower-cased text behind the last @, '' without one."""
+    return F.when(F.contains(addr, F.lit("@")), F.lower(F.substring_index(addr, "@", -1))).otherwise(F.lit(""))
+
+
+def auth_result(block: Column, mechanism: str) -> Column:
+    """The first verdict for a mechanism over all Authentication-Results fields; null if none."""
+    joined = F.array_join(headers(block, "authentication-results"), " ")
+    return F.nullif(F.lower(F.regexp_extract(joined, rf"(?i){mechanism}=(\w+)", 1)), F.lit(""))
+
+
+def strip_html(html: Column, nbsp: bool = False) -> Column:
+    """Text of an HTML page: scripts, styles and tags become blanks; ``nbsp`` also turns that entity into one."""
+    text = F.regexp_replace(html, r"(?is)<(script|style)[^>]*>.*?</\1>", " ")
+    text = F.regexp_replace(text, r"(?s)<[^>]+>", " ")
+    if nbsp:
+        text = F.regexp_replace(text, "(?i)&nbsp;", " ")
+    return collapse_blanks(text)
+
+
+def subject_and_body(subject: Column, body: Column) -> Column:
+    """Text for the classifier: subject, empty line, body; ends trimmed."""
+    return strip(F.when(F.length(subject) > 0, F.concat(subject, F.lit("\n\n"), body)).otherwise(body))
+
+
+def subject_and_body_trimmed(subject: Column, body: Column) -> Column:
+    """Text for the corpus: both parts trimmed first, no empty line without both."""
+    s, b = strip(subject), strip(body)
+    return F.when((F.length(s) > 0) & (F.length(b) > 0), F.concat(s, F.lit("\n\n"), b)).when(F.length(s) > 0, s).otherwise(b)
+
+
+def link_domains(body: Column) -> Column:
+    """Sorted distinct lower-cased hosts (with port, user and query as written) of absolute links."""
+    hosts = F.regexp_extract_all(body, F.lit(rf"(?i)https?://([^{BLANKS}/\"'<>]+)"), F.lit(1))
+    return F.array_sort(F.array_distinct(F.transform(hosts, F.lower)))
+
+
+def parsed(df: DataFrame, raw: str = "raw_eml") -> DataFrame:
+    """``df`` with the header columns of each message."""
+    out = df.withColumn("_block", header_block(F.col(raw)))
+    out = out.withColumn("_from", header(F.col("_block"), "from"))
+    return (
+        out.withColumn("message_id", strip(header(F.col("_block"), "message-id")))
+        .withColumn("subject", header(F.col("_block"), "subject"))
+        .withColumn("from_display", display_name(F.col("_from")))
+        .withColumn("from_address", address(F.col("_from")))
+        .withColumn("sender_domain", domain(F.col("from_address")))
+        .withColumn("reply_to", header(F.col("_block"), "reply-to"))
+        .withColumn("content_type", F.lower(F.regexp_extract(header(F.col("_block"), "content-type"), r"\A([^;\s]*)", 1)))
+        .withColumns({m: auth_result(F.col("_block"), m) for m in MECHANISMS})
+        .withColumn("_raw_body", raw_body(F.col(raw)))
+        .drop("_block", "_from")
+    )
+
+
+def mime_text(raw: str | None) -> str:
+    """Body text by a full MIME parse: plain parts joined; an HTML part only while nothing was found; bad bytes dropped."""
+    if not raw:
+        return ""
+    message = email.message_from_string(raw)
+
+    def decoded(part) -> str:
+        data = part.get_payload(decode=True)
+        return data.decode("utf-8", "ignore") if data is not None else str(part.get_payload() or "")
+
+    if not message.is_multipart():
+        text = decoded(message)
+        return (_strip_html(text) if message.get_content_type() == "text/html" else text).strip()
+    found: list[str] = []
+    for part in message.walk():
+        kind = part.get_content_type()
+        if kind == "text/plain":
+            found.append(decoded(part))
+        elif kind == "text/html" and not found:
+            found.append(_strip_html(decoded(part)))
+    return "\n".join(found).strip()
+
+
+def _strip_html(html: str) -> str:
+    text = re.sub(r"<(script|style)[^>]*>.*?</\1>", " ", html, flags=re.I | re.S)
+    return re.sub(r"\s+", " ", re.sub(r"<[^>]+>", " ", text)).strip()
+
+
+def needs_mime(raw: Column) -> Column:
+    block = header_block(raw)
+    return header(block, "content-type").rlike(r"(?i)\A\s*multipart/") | header(block, "content-transfer-encoding").rlike(r"(?i)base64|quoted-printable")
+
+
+def with_body(df: DataFrame, raw: str = "raw_eml") -> DataFrame:
+    """Adds ``body_text``; only multipart and encoded messages are handed to Python, the others as nulls.
+
+    A union of two filtered branches would read the table twice and push the filters' long expressions through the plan.
+    """
+
+    @F.pandas_udf("string")
+    def by_mime(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else mime_text(t))
+
+    native = strip(F.when(F.col("content_type") == "text/html", strip_html(F.col("_raw_body"))).otherwise(F.col("_raw_body")))
+    marked = df.withColumn("_mime", F.when(F.coalesce(needs_mime(F.col(raw)), F.lit(False)), F.col(raw)))
+    return marked.withColumn("_mime", by_mime("_mime")).withColumn("body_text", F.coalesce("_mime", native)).drop("_mime")
+
+
+def parse_address(value: Column) -> Column:
+    """Struct (display, address) by strict parsing of comments, groups and lists; ('', '') where there is no single address."""
+
+    @F.pandas_udf("display string, address string")
+    def strict(values: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([parseaddr(v or "") for v in values], columns=["display", "address"])
+
+    return strict(value)
