@@ -30,7 +30,7 @@ WINDOW = 3
 #: Word pairs in more than this share of all texts are kept last.
 FREQUENT = 0.005
 #: Share of its fingerprints that a record has in common with each of its near copies.
-SHARED = 0.3
+SHARED = 0.4
 SALTS = 16
 
 
