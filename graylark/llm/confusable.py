@@ -121,7 +121,7 @@ def normalize(text: str | None) -> tuple[str | None, bool]:
                 continue
             if not near & {"L", "m"} and not (latin and latin > native):
                 continue
-        elif _garbled(text, m):
+        if _garbled(text, m):
             continue
         new = decode_word(w, "L" if latin >= native else "C")
         if new != w:

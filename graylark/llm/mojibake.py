@@ -108,8 +108,10 @@ def _undo_utf8(text: str, encoding: str) -> str:
     """Reread the runs of ``text`` that are UTF-8 under ``encoding``; other characters stay."""
     table = ENCODERS[encoding]
     out, run = [], []
+    kept = False  # letters beside the reread ones
 
     def close() -> None:
+        nonlocal kept
         data, last = bytes(table[c] for c in run), 0
         for m in UTF8_RUN.finditer(data):
             try:
@@ -118,9 +120,11 @@ def _undo_utf8(text: str, encoding: str) -> str:
                 continue
             if not PLAUSIBLE.match(char) and not ("\x80" <= char <= "\xff"):
                 continue
+            kept |= any(c.isalpha() for c in run[last : m.start()])
             out.extend(run[last : m.start()])
             out.append(char)
             last = m.end()
+        kept |= any(c.isalpha() for c in run[last:])
         out.extend(run[last:])
         run.clear()
 
@@ -133,7 +137,15 @@ def _undo_utf8(text: str, encoding: str) -> str:
             out.append(c)
     if run:
         close()
-    return "".join(out)
+    new = "".join(out)
+    if encoding == "cp1251" and new != text and not ASCII_LETTER.search(text):
+        # a Cyrillic word with a quote or a rare letter behind a capital is no damage: all its letters must be explained, in Cyrillic
+        if kept or any("\x7f" < c < "Ͱ" and c.isalpha() for c in new):
+            return text
+    return new
+
+
+ASCII_LETTER = re.compile("[A-Za-z]")
 
 
 def _reread(text: str, wrong: str, meant: str) -> str | None:
