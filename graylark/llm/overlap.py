@@ -30,7 +30,9 @@ WINDOW = 3
 #: Word pairs in more than this share of all texts are kept last.
 FREQUENT = 0.005
 #: Share of its fingerprints that a record has in common with each of its near copies.
-SHARED = 0.4
+SHARED = 0.3
+#: Fingerprints that the prefixes of near copies have in common: prefixes are so much longer that this loses none.
+COMMON = 3
 SALTS = 16
 
 
@@ -82,10 +84,14 @@ def collapse(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _prefix(fps: DataFrame, df: DataFrame) -> DataFrame:
-    """Of each record the rarest fingerprints, one more than it may lack of what near copies share."""
+    """Of each record the rarest fingerprints, and how many of them any near copy must have too.
+
+    Two records that share T fingerprints have ``k`` of them among the n - T + k rarest of each, for every k up to T.
+    """
     rank = Window.partitionBy("id").orderBy("df", "fp")
     ranked = fps.join(df, "fp").withColumn("_r", F.row_number().over(rank)).withColumn("_n", F.count("*").over(Window.partitionBy("id")))
-    return ranked.where(F.col("_r") <= F.col("_n") - F.ceil(F.col("_n") * SHARED) + 1).select("id", "fp")
+    ranked = ranked.withColumn("_t", F.ceil(F.col("_n") * SHARED)).withColumn("k", F.least(F.lit(COMMON), F.col("_t")).cast("int"))
+    return ranked.where(F.col("_r") <= F.col("_n") - F.col("_t") + F.col("k")).select("id", "fp", "k")
 
 
 def chain(a: np.ndarray, b: np.ndarray, frequent: np.ndarray) -> list[tuple[int, int]]:
@@ -155,7 +161,9 @@ def overlaps(train: DataFrame, evaluation: DataFrame, key: str, text: str, thres
     ft, fe = stored(fingerprints(spread(t, "id"), frequent)), stored(fingerprints(spread(e, "id"), frequent))
     df = ft.unionByName(fe).groupBy("fp").agg(F.count("*").alias("df"))
     pt, pe = _prefix(ft, df), _prefix(fe, df)
-    candidates = stored(pe.withColumnRenamed("id", "e").join(pt.withColumnRenamed("id", "t"), "fp").select("e", "t").distinct())
+    hits = pe.select(F.col("id").alias("e"), "fp", F.col("k").alias("ke")).join(pt.select(F.col("id").alias("t"), "fp", F.col("k").alias("kt")), "fp")
+    counted = hits.groupBy("e", "t").agg(F.count("*").alias("c"), F.min(F.least("ke", "kt")).alias("k"))
+    candidates = stored(counted.where("c >= k").select("e", "t"))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
