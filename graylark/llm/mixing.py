@@ -94,7 +94,7 @@ def _placed(tokens: DataFrame) -> DataFrame:
     starts = per_range.select("source", "range", (F.sum("t").over(upto) - F.col("t")).alias("start"), F.sum("t").over(Window.partitionBy("source")).alias("available"))
     within = Window.partitionBy("source", "range").orderBy("h", "id").rowsBetween(Window.unboundedPreceding, -1)
     inner = rows.withColumn("inner", F.coalesce(F.sum("n_tokens").over(within), F.lit(0)))
-    return inner.join(F.broadcast(starts) if False else starts, ["source", "range"]).select("source", "id", "n_tokens", (F.col("start") + F.col("inner")).alias("before"), "available")
+    return inner.join(starts, ["source", "range"]).select("source", "id", "n_tokens", (F.col("start") + F.col("inner")).alias("before"), "available")
 
 
 def _wanted(spark, plans: list[dict], total: int) -> DataFrame:

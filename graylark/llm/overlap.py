@@ -154,11 +154,11 @@ def overlaps(train: DataFrame, evaluation: DataFrame, key: str, text: str, thres
 
     Ids must not occur in both tables.  Only sketches of fixed size reach the driver; pairs are written once.
     """
-    t, e = distinct_texts(train, key, text), distinct_texts(evaluation, key, text)
+    t, e = spread(distinct_texts(train, key, text), "id"), spread(distinct_texts(evaluation, key, text), "id")
     frequent = frequent_table(t.unionByName(e), "text", FREQUENT, pair_hashes)
     t, t_copies = collapse(t)
     e, e_copies = collapse(e)
-    ft, fe = stored(fingerprints(spread(t, "id"), frequent)), stored(fingerprints(spread(e, "id"), frequent))
+    ft, fe = stored(fingerprints(t, frequent)), stored(fingerprints(e, frequent))
     df = ft.unionByName(fe).groupBy("fp").agg(F.count("*").alias("df"))
     pt, pe = _prefix(ft, df), _prefix(fe, df)
     hits = pe.select(F.col("id").alias("e"), "fp", F.col("k").alias("ke")).join(pt.select(F.col("id").alias("t"), "fp", F.col("k").alias("kt")), "fp")
