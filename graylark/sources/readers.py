@@ -14,7 +14,7 @@ from graylark.operators.scorer import collapse_label
 
 def _lenient(content: Column) -> Column:
     """Bytes as UTF-8 text without what isn't UTF-8."""
-    return F.when(F.is_valid_utf8(content.cast("string")), content.cast("string")).otherwise(F.regexp_replace(F.decode(content, "UTF-8"), "�", ""))
+    return F.when(F.is_valid_utf8(content.cast("string")), content.cast("string")).otherwise(F.regexp_replace(F.make_valid_utf8(content.cast("string")), "�", ""))
 
 
 def file_name(path: Column) -> Column:
