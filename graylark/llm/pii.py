@@ -55,6 +55,8 @@ STREET = re.compile(
     rf"|(?i:p\.?{S}?o\.?{S}?box|post office box|postfach|apartado(?:{S}de{S}correos)?|boîte postale|caixa postal|skrytka pocztowa|posta kutusu){S}\d{{1,6}}(?:,{S}{CAP}(?:-{CAP})?)?)"
 )
 WORD = re.compile(f"[^\\W\\d_{LOST}]*[{LOST}]*[^\\W\\d_]+(?:[-’'][^\\W\\d_]+)*{LOST}*")
+#: The name that is a month too, beside a number.
+MONTH_DAY = re.compile(r"\d\s+jan\b|\bjan\s+\d", re.I)
 PLAIN_WORD = re.compile("[^\\W\\d_]+(?:[-’'][^\\W\\d_]+)*")
 INITIAL = re.compile(rf"(?<![\w.])[^\W\d_a-zà-öø-ÿа-яёßıšśžźżłńćęą]{LOST}*\.(?={S}?\S)")
 GAP = re.compile(S)
@@ -198,6 +200,7 @@ def _people(text: str) -> list[tuple[int, int]]:
     lost = LOST in text
     words = [(m.start(), m.end(), m.group()) for m in (WORD if lost else PLAIN_WORD).finditer(text)]
     given = [k for k, w in enumerate(words) if w[2].lower() in GIVEN or lost and _is_given(w[2])]
+    given = [k for k in given if words[k][2].lower() != "jan" or not MONTH_DAY.search(text, max(0, words[k][0] - 4), words[k][1] + 4)]
     initials = {m.start(): m.end() for m in INITIAL.finditer(text)}
     out = []
     taken: set[int] = set()
