@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from graylark.llm.batches import spread
 from graylark.llm.stored import distinct_texts, frequent_table, is_frequent, stored, word_hashes
 
-BANDS, BAND_ROWS = 16, 2
+BANDS, BAND_ROWS = 20, 2
 #: Minima of the signature, and the low bits kept of each.
 MINIMA, BITS = 64, 4
 #: Words in more than this share of all texts come last in the order of the bands.
