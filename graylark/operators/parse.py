@@ -116,11 +116,11 @@ def mime_text(raw: str | None) -> str:
     """Body text by a full MIME parse: plain parts joined; an HTML part only while nothing was found; bad bytes dropped."""
     if not raw:
         return ""
-    message = email.message_from_string(raw)
+    message = email.message_from_bytes(raw.encode("utf-8", "surrogatepass"))
 
     def decoded(part) -> str:
         data = part.get_payload(decode=True)
-        return data.decode("utf-8", "ignore") if data is not None else str(part.get_payload() or "")
+        return data.decode("utf-8", "ignore") if data is not None else ""
 
     if not message.is_multipart():
         text = decoded(message)

@@ -47,6 +47,20 @@ def lexical_scorer(df: DataFrame, text: str) -> DataFrame:
     return out.drop("_low", "_top", "_sum", *[f"_{x}_{k}" for k in names for x in "le"])
 
 
+def lexical_batch(texts: list[str]) -> list[dict[str, float]]:
+    """The lexical scorer as a plain function over a batch, for :func:`batch_scorer`."""
+    import math
+
+    out = []
+    for text in texts:
+        low = text.lower()
+        logits = {k: WEIGHTS[k][0] + sum(t in low for t in TERMS[k]) * WEIGHTS[k][1] for k in LABELS.values()}
+        top = max(logits.values())
+        powers = {k: math.exp(v - top) for k, v in logits.items()}
+        out.append({k: v / sum(powers.values()) for k, v in powers.items()})
+    return out
+
+
 def preview(text: Column, size: int = PREVIEW) -> Column:
     """The first characters, with an ellipsis if there are more."""
     return F.concat(F.left(text, F.lit(size)), F.when(F.length(text) > size, "…").otherwise(""))

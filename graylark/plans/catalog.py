@@ -173,6 +173,17 @@ WITH_FUSED = f"WITH {PARSED_SQL}, {LOOK_SQL}, {SIGNAL_SQL}, {SCORE_SQL}, {GATE_S
 # --- parsing -------------------------------------------------------------------------------------------------------------
 
 
+@query(WITH_PARSED + "SELECT email_id, body_text FROM parsed")
+def e1_mime(spark, d):
+    """The full MIME parse of every message; on plain messages it must agree with the expressions."""
+
+    @F.pandas_udf("string")
+    def parse_all(texts):
+        return texts.map(parse.mime_text)
+
+    return emails(spark, d).select("email_id", parse_all("raw_eml").alias("body_text"))
+
+
 @query(WITH_PARSED + "SELECT email_id, message_id, subject, reply_to, from_value FROM parsed")
 def e2_headers(spark, d):
     out = parse.parsed(emails(spark, d))
@@ -380,6 +391,13 @@ def m2_lexical(spark, d):
     return out.select("row_id", "predicted_label", "confidence", *[F.element_at("probabilities", k).alias(f"p_{k}") for k in LABELS.values()])
 
 
+@query(f"WITH {sql_lexical('test', 'text', 'lex')} SELECT row_id, p_ham, p_phishing, p_ai_phish FROM lex")
+def m6_batch(spark, d):
+    """The batch adapter with a plain function as the outside model."""
+    out = scorer.batch_scorer(table(spark, d, "test"), "text", lambda: scorer.lexical_batch)
+    return out.select("row_id", *[F.element_at("probabilities", k).alias(f"p_{k}") for k in LABELS.values()])
+
+
 @query()
 def m2_m8_mllib(spark, d):
     """Trained on the train split with class weights, applied to the test split."""
@@ -499,6 +517,37 @@ def d12_split_stats(spark, d):
     return corpus.split_stats(_split(spark, d))
 
 
+_DEMO_SQL = ", ".join(f"({sql_text(t)}, {n}, 'demo')" for t, n in readers.DEMO)
+
+
+@query(f"SELECT * FROM (VALUES {_DEMO_SQL}) t(text, label, source)")
+def s7_demo(spark, d):
+    return readers.demo_corpus(spark)
+
+
+@query("SELECT text, label, (label > 0)::INT AS binary_label FROM train WHERE text IS NOT NULL AND label IS NOT NULL")
+def s9_training_rows(spark, d):
+    return readers.training_rows(table(spark, d, "train")).withColumn("binary_label", scorer.collapse_label(F.col("label")))
+
+
+@query("SELECT row_id, label FROM test WHERE text IS NOT NULL")
+def s10_evaluation_rows(spark, d):
+    return readers.evaluation_rows(table(spark, d, "test")).select("row_id", "label")
+
+
+@query("SELECT record_id, label, source FROM dataset")
+def k2_s4_csv(spark, d):
+    """Written as CSV to the shared folder and read again."""
+    import uuid
+
+    from graylark.sources.writers import scratch
+
+    path = f"{scratch(spark)}/csv-{uuid.uuid4().hex}"
+    rows = table(spark, d, "dataset").select("record_id", "label", "source")
+    rows.write.option("header", True).csv(path)
+    return spark.read.schema(rows.schema).csv(path, header=True)
+
+
 # --- evaluation ----------------------------------------------------------------------------------------------------------
 
 _PRED_SQL = f"""{sql_lexical("(SELECT * FROM test WHERE text IS NOT NULL)", 'text', 'lex')},

@@ -3,17 +3,27 @@
 from __future__ import annotations
 
 import json
+import tempfile
 from collections.abc import Mapping
 from pathlib import Path
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graylark.functions.constants import LABELS
 from graylark.operators.corpus import split_stats
 
 
+def scratch(spark: SparkSession) -> str:
+    """The shared folder in spark.checkpoint.dir; one of our own where it is unset."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        folder = "file://" + tempfile.mkdtemp(prefix="graylark-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder.rstrip("/")
+
+
 def json_document(*columns: str) -> Column:
     """One row as JSON, nulls kept."""
     return F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
