@@ -106,7 +106,6 @@ class ItemBlock:
         diagonal = position - self.positions[entry] + (1 << 24)
         for shift in (0, BAND // 2):  # bands overlap by half
             band = (diagonal + shift) // BAND
-            # passages of one item far apart on near diagonals stay apart by the position window
             key = (doc.astype(np.int64) * len(self.ids) + item) << np.int64(26) | band & np.int64((1 << 26) - 1)
             order = np.argsort(key, kind="stable")
             sorted_key = key[order]

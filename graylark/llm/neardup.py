@@ -20,26 +20,34 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graylark.llm.batches import spread
 from graylark.llm.stored import distinct_texts, frequent_table, is_frequent, stored, word_hashes
 
-BANDS, BAND_ROWS = 20, 2
-#: Minima of the signature, and the low bits kept of each.
+#: Two sets of bands (number, minima in each).  The first puts rare words first: unrelated records hardly ever share its keys.
+#: The second treats all words alike, because in a group of copies that is a large part of the table the group's own words
+#: are frequent and each copy's edits are rare.
+RARE_BANDS, RARE_ROWS = 12, 2
+PLAIN_BANDS, PLAIN_ROWS = 13, 6
+BANDS = RARE_BANDS + PLAIN_BANDS
+#: Minima of the signature (the first of those of the plain bands), and the low bits kept of each.
 MINIMA, BITS = 64, 4
-#: Words in more than this share of all texts come last in the order of the bands.
+#: Words in more than this share of all texts come last in the order of the first bands.
 FREQUENT = 0.01
 RARE_FIRST = 6  # a frequent word's value is 2**6 times as large
 #: How far an estimate may lie below the bound (over three standard deviations of 64 minima).
 SLACK = 0.2
+#: The same for the first packed long alone, which has a quarter of the minima.
+FIRST_SLACK = 0.45
 #: Records in one block of a bucket.
 BLOCK = 256
 
+_RARE_MINIMA, _PLAIN_MINIMA = RARE_BANDS * RARE_ROWS, PLAIN_BANDS * PLAIN_ROWS
 _RNG = np.random.default_rng(20240607)
-_MULT = _RNG.integers(1 << 62, dtype=np.uint64, size=BANDS * BAND_ROWS + MINIMA) * np.uint64(2) + np.uint64(1)
-_ADD = _RNG.integers(1 << 63, dtype=np.uint64, size=BANDS * BAND_ROWS + MINIMA)
+_MULT = _RNG.integers(1 << 62, dtype=np.uint64, size=_RARE_MINIMA + _PLAIN_MINIMA) * np.uint64(2) + np.uint64(1)
+_ADD = _RNG.integers(1 << 63, dtype=np.uint64, size=_RARE_MINIMA + _PLAIN_MINIMA)
 
 
 def _minima(flat: np.ndarray, starts: np.ndarray, k: int, shift: np.ndarray | None) -> np.ndarray:
@@ -60,18 +68,27 @@ def _sketch(ids: list, texts: list, frequent: np.ndarray) -> pa.RecordBatch:
     flat = np.concatenate(sets)
     shift = np.where(is_frequent(frequent, flat), np.uint64(RARE_FIRST), np.uint64(0))
     keys = []
+    per_long = 64 // BITS
+    packed = np.zeros((MINIMA // per_long, len(sets)), dtype=np.uint64)
+
+    def join(key: np.ndarray, value: np.ndarray) -> np.ndarray:
+        key = (key ^ value) * np.uint64(0x9E3779B97F4A7C15)
+        return key ^ key >> np.uint64(31)
+
     with np.errstate(over="ignore"):
         for band in range(BANDS):
             key = np.full(len(sets), band + 1, dtype=np.uint64)
-            for row in range(BAND_ROWS):
-                key = (key ^ _minima(flat, starts, band * BAND_ROWS + row, shift)) * np.uint64(0x9E3779B97F4A7C15)
-                key ^= key >> np.uint64(31)
+            if band < RARE_BANDS:
+                for row in range(RARE_ROWS):
+                    key = join(key, _minima(flat, starts, band * RARE_ROWS + row, shift))
+            else:
+                for row in range(PLAIN_ROWS):
+                    k = (band - RARE_BANDS) * PLAIN_ROWS + row
+                    least = _minima(flat, starts, _RARE_MINIMA + k, None)
+                    key = join(key, least)
+                    if k < MINIMA:
+                        packed[k // per_long] |= (least & np.uint64((1 << BITS) - 1)) << np.uint64(BITS * (k % per_long))
             keys.append(key)
-        per_long = 64 // BITS
-        packed = np.zeros((MINIMA // per_long, len(sets)), dtype=np.uint64)
-        for k in range(MINIMA):
-            low = _minima(flat, starts, BANDS * BAND_ROWS + k, None) & np.uint64((1 << BITS) - 1)
-            packed[k // per_long] |= low << np.uint64(BITS * (k % per_long))
         one = np.add.reduceat(flat * np.uint64(0x9E3779B97F4A7C15) ^ flat >> np.uint64(7), starts)
         two = np.bitwise_xor.reduceat((flat ^ flat >> np.uint64(33)) * np.uint64(0xC2B2AE3D27D4EB4F), starts)
     bands = pa.ListArray.from_arrays(pa.array(np.arange(0, BANDS * len(sets) + 1, BANDS), pa.int32()), pa.array(np.stack(keys, axis=1).reshape(-1).view(np.int64)))
@@ -80,7 +97,8 @@ def _sketch(ids: list, texts: list, frequent: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict(columns)
 
 
-SKETCH_SCHEMA = "id bigint, set_a bigint, set_b bigint, n int, bands array<bigint>, " + ", ".join(f"s{i} bigint" for i in range(MINIMA * BITS // 64))
+SIGNATURE = tuple(f"s{i}" for i in range(MINIMA * BITS // 64))
+SKETCH_SCHEMA = "id bigint, set_a bigint, set_b bigint, n int, bands array<bigint>, " + ", ".join(f"{c} bigint" for c in SIGNATURE)
 
 
 def sketches(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
@@ -96,17 +114,17 @@ def sketches(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
     return docs.mapInArrow(run, SKETCH_SCHEMA)
 
 
-def estimate(a: str, b: str):
-    """Similarity from the packed signatures of two aliased frames, corrected for chance collisions."""
+def estimate(a: str, b: str, longs: tuple[str, ...] = SIGNATURE):
+    """Similarity from packed signatures (all of their longs or some), by bit counts, corrected for chance collisions."""
     ones = int("".join(["0" * (BITS - 1) + "1"] * (64 // BITS)), 2)
     differing = F.lit(0)
-    for i in range(MINIMA * BITS // 64):
-        x = F.col(f"{a}.s{i}").bitwiseXOR(F.col(f"{b}.s{i}"))
+    for c in longs:
+        x = F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}"))
         any_bit = x
         for s in range(1, BITS):
             any_bit = any_bit.bitwiseOR(F.shiftrightunsigned(x, s))
         differing = differing + F.bit_count(any_bit.bitwiseAND(F.lit(ones)))
-    equal = 1 - differing / F.lit(float(MINIMA))
+    equal = 1 - differing / F.lit(len(longs) * 64.0 / BITS)
     chance = 1.0 / (1 << BITS)
     return (equal - chance) / (1 - chance)
 
@@ -125,6 +143,23 @@ def bucket_pairs(rows: DataFrame, bucket: str, member: str) -> DataFrame:
     return one.select("p", F.explode("ms").alias("q"), "x", "y").where("p.m < q.m and (x = y or p.k <> q.k)").select(F.col("p.m").alias("a"), F.col("q.m").alias("b"))
 
 
+def band_pairs(own: DataFrame, threshold: float) -> DataFrame:
+    """Candidates ``(a, b)``, a < b: pairs in a common bucket whose sizes and first signature word allow the bound.
+
+    Band rows are shuffled once, with the word count and the first packed long; counting a bucket streams over its rows.
+    Buckets of at most ``BLOCK`` records are paired where they are; larger ones are divided as in :func:`bucket_pairs`.
+    """
+    rows = own.select(F.explode("bands").alias("key"), "id", "n", "s0")  # flat: a struct would be larger in the shuffle
+    counted = rows.withColumn("_n", F.count("*").over(Window.partitionBy("key"))).where("_n > 1").select("key", F.struct("id", "n", "s0").alias("m"), "_n")
+    lists = counted.where(F.col("_n") <= BLOCK).groupBy("key").agg(F.collect_list("m").alias("ms"))
+    few = lists.select(F.explode("ms").alias("p"), "ms").select("p", F.explode("ms").alias("q")).where("p.id < q.id").select(F.col("p").alias("a"), F.col("q").alias("b"))
+    many = bucket_pairs(counted.where(F.col("_n") > BLOCK).select("key", "m"), "key", "m")
+    pairs = few.unionByName(many)
+    alike = estimate("a", "b", ("s0",)) >= threshold - FIRST_SLACK
+    sizes = F.least("a.n", "b.n") >= threshold * F.greatest("a.n", "b.n")
+    return pairs.where(sizes & alike).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
+
+
 def exact_pairs(pairs: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
     """``(a, b, similarity)`` of the candidate pairs that reach the bound, from the texts of ``docs (id, text)``.
 
@@ -161,15 +196,9 @@ def similar_representatives(df: DataFrame, key: str, text: str, threshold: float
     sk = stored(sketches(spread(docs, "id"), frequent))
     copies = stored(copies_of(sk))
     own = sk.join(copies.select("id"), "id", "left_anti")
-    candidates = bucket_pairs(own.select("id", F.explode("bands").alias("key")), "key", "id").distinct()
-    light = own.select("id", "n", *[f"s{i}" for i in range(MINIMA * BITS // 64)])
-    kept = (
-        candidates.join(light.alias("l"), F.col("a") == F.col("l.id"))
-        .join(light.alias("r"), F.col("b") == F.col("r.id"))
-        .where(F.least("l.n", "r.n") >= threshold * F.greatest("l.n", "r.n"))
-        .where(estimate("l", "r") >= threshold - SLACK)
-        .select("a", "b")
-    )
+    light = own.select("id", *SIGNATURE)
+    both = band_pairs(own, threshold).join(light.alias("l"), F.col("a") == F.col("l.id")).join(light.alias("r"), F.col("b") == F.col("r.id"))
+    kept = both.where(estimate("l", "r") >= threshold - SLACK).select("a", "b")
     return exact_pairs(stored(kept), docs, threshold), copies, sk
 
 

@@ -96,5 +96,29 @@ def queries() -> dict[str, Query]:
     return {k: v for k, v in globals().items() if k[:1] == "p" and k[1:2].isdigit() and callable(v)}
 
 
+def _word_sets(source: str, key: str, extra: str = "") -> str:
+    """Distinct words per row, as problem 3 defines them."""
+    return f"SELECT {key} AS id{extra}, list_distinct(list_filter(regexp_split_to_array(lower(text), '[ \\t\\r\\n]+'), lambda x: x <> '')) AS ws FROM {source} WHERE text IS NOT NULL"
+
+
+def _shingles(source: str, key: str, words: int = 8) -> str:
+    """Distinct runs of words per row, as problem 7 defines them."""
+    ws = f"SELECT {key} AS id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS ws FROM {source} WHERE text IS NOT NULL"
+    return f"SELECT DISTINCT id, array_to_string(ws[i:i + {words - 1}], ' ') AS g FROM (SELECT id, ws, unnest(range(1, len(ws) - {words - 2})) AS i FROM ({ws}))"
+
+
+_EVALUATION = "(SELECT *, 'val' AS split FROM val UNION ALL SELECT *, 'test' AS split FROM test)"
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Plain forms of the queries that SQL can express, over whole tables."""
+    return {
+        "p3_found": f"""WITH s AS MATERIALIZED ({_word_sets('dataset', 'record_id')}), w AS (SELECT id, len(ws) AS n, unnest(ws) AS word FROM s),
+c AS (SELECT a.id AS x, b.id AS y, any_value(a.n) AS nx, any_value(b.n) AS ny, count(*) AS common FROM w a JOIN w b ON a.word = b.word AND a.id < b.id GROUP BY a.id, b.id)
+SELECT x AS record_id_a, y AS record_id_b FROM c WHERE 10 * common >= 7 * (nx + ny - common)""",
+        "p4_found": f"""WITH e AS MATERIALIZED ({_word_sets(_EVALUATION, 'row_id', ', split')}), t AS MATERIALIZED ({_word_sets('train', 'row_id')}),
+ew AS (SELECT id, split, len(ws) AS n, unnest(ws) AS word FROM e), tw AS (SELECT id, len(ws) AS n, unnest(ws) AS word FROM t),
+c AS (SELECT split, a.id AS x, b.id AS y, any_value(a.n) AS nx, any_value(b.n) AS ny, count(*) AS common FROM ew a JOIN tw b ON a.word = b.word GROUP BY split, a.id, b.id)
+SELECT split, x AS eval_row_id, y AS train_row_id FROM c WHERE 10 * common >= 7 * (nx + ny - common)""",
+        "p7_found": f"WITH d AS ({_shingles('documents', 'doc_id')}), i AS ({_shingles('eval_items', 'item_id')}) SELECT DISTINCT d.id AS doc_id, i.id AS item_id FROM d JOIN i USING (g)",
+    }

@@ -187,3 +187,17 @@ def test_odd_tables(spark, empty):
     assert leakage.leaks(df, df, "id", "id").count() == 0
     plans = spark.createDataFrame([("p", "x", 1.0, 2, 1.0)], "plan_id string, source string, target_share double, max_repeats int, size_ratio double")
     assert mixing.manifest(df.withColumn("source", F.lit("x")), plans, "id").count() == (0 if empty else 7)
+
+
+@pytest.mark.parametrize("share", [0.2, 0.35])
+def test_a_hot_group_of_edited_copies(spark, share):
+    """The words of a group that is a large part of the table are frequent; its pairs must be found all the same."""
+    rng = random.Random(11)
+    texts = corpus(220, 12)
+    base = [f"h{i}" for i in range(70)]
+    for _ in range(int(share * 220)):
+        texts.append(" ".join(w if rng.random() > 0.06 else f"e{rng.randrange(10**6)}" for w in base))
+    df = spark.createDataFrame(list(enumerate(texts)), "id bigint, text string")
+    want = {(i, j) for (i, a), (j, b) in combinations([(i, t) for i, t in enumerate(texts) if t and t.strip()], 2) if similarity(a, b) >= 0.7}
+    got = {(r.id_a, r.id_b) for r in neardup.similar_pairs(df, "id", "text", 0.7).collect()}
+    assert got <= want and len(got) >= 0.985 * len(want)
