@@ -11,7 +11,7 @@ The items are the query set.  They are taken in blocks of at most ``BLOCK_CHARS`
 doesn't grow; the corpus is scanned once per block and never shuffled.
 
 Defined results: null and blank texts hold nothing; items with fewer than ``min_words`` words leak nowhere; an item
-that equals another is reported for both; documents of any length are scanned whole, in pieces that overlap.
+that equals another is reported for both; documents of any length are scanned whole.
 """
 
 from __future__ import annotations

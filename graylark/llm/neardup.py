@@ -29,8 +29,8 @@ from graylark.llm.stored import distinct_texts, frequent_table, is_frequent, sto
 #: Two sets of bands (number, minima in each).  The first puts rare words first: unrelated records hardly ever share its keys.
 #: The second treats all words alike, because in a group of copies that is a large part of the table the group's own words
 #: are frequent and each copy's edits are rare.
-RARE_BANDS, RARE_ROWS = 12, 2
-PLAIN_BANDS, PLAIN_ROWS = 13, 6
+RARE_BANDS, RARE_ROWS = 9, 2
+PLAIN_BANDS, PLAIN_ROWS = 17, 6
 BANDS = RARE_BANDS + PLAIN_BANDS
 #: Minima of the signature (the first of those of the plain bands), and the low bits kept of each.
 MINIMA, BITS = 64, 4
