@@ -14,7 +14,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graylark.functions.columns import count_contained, is_blank
@@ -99,8 +99,8 @@ def class_weights(df: DataFrame, label: str, classes: list[int] | None = None) -
     grid = df.sparkSession.createDataFrame([(c,) for c in classes], "label int")
     counts = df.where(F.col(label).isin(classes)).groupBy(F.col(label).cast("int").alias("label")).agg(F.count("*").alias("n"))
     joined = grid.join(F.broadcast(counts), "label", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    total = counts.agg(F.sum("n").alias("total"))
-    return joined.crossJoin(F.broadcast(total)).select("label", F.col("n").alias("class_rows"), (F.col("total") / (F.lit(float(len(classes))) * F.greatest("n", F.lit(1)))).alias("class_weight"))
+    total = F.sum("n").over(Window.partitionBy(F.lit(0)))  # over the few rows of the grid
+    return joined.select("label", F.col("n").alias("class_rows"), (total / (F.lit(float(len(classes))) * F.greatest("n", F.lit(1)))).alias("class_weight"))
 
 
 def text_pipeline(features: int = 1 << 16, reg: float = 1e-4, iterations: int = 30) -> Pipeline:
