@@ -1,9 +1,9 @@
 """Problem 3: pairs and groups of records whose word sets are similar, over tables too large for pairwise comparison.
 
-Method: b-bit MinHash.  Per record the operator computes (a) band keys from minima under an order that puts rare
-words first, and (b) a signature of minima over all words of which only the low ``BITS`` bits are kept, packed into
-longs.  Records that share a band key are candidates; the bit counts of their packed signatures give an estimate
-of the similarity, corrected for chance collisions; candidates near or above the bound are compared exactly.
+Method: a prefix filter (see ``prefixes``).  Records that share one of their rarest words, as many of them as the bound
+asks for, are candidates; every pair at or above the bound is one.  Sizes and parity bitmaps, which only rule out what
+can't reach the bound, thin the candidates, and the rest is compared exactly.  No step is probabilistic: bands of minima
+(b-bit MinHash) lose links near the bound in groups that are a large part of the table.
 
 Shape of the work: records with the same word set are represented by one of them, so that copies never multiply
 candidates; buckets are joined in blocks (see ``BLOCK``), so that no task holds a whole hot bucket; pairs of
@@ -24,109 +24,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graylark.llm.batches import spread
-from graylark.llm.stored import distinct_texts, frequent_table, is_frequent, stored, word_hashes
-
-#: Two sets of bands (number, minima in each).  The first puts rare words first: unrelated records hardly ever share its keys.
-#: The second treats all words alike, because in a group of copies that is a large part of the table the group's own words
-#: are frequent and each copy's edits are rare.
-RARE_BANDS, RARE_ROWS = 9, 2
-PLAIN_BANDS, PLAIN_ROWS = 17, 6
-BANDS = RARE_BANDS + PLAIN_BANDS
-#: Minima of the signature (the first of those of the plain bands), and the low bits kept of each.
-MINIMA, BITS = 64, 4
-#: Words in more than this share of all texts come last in the order of the first bands.
-FREQUENT = 0.01
-RARE_FIRST = 6  # a frequent word's value is 2**6 times as large
-#: How far an estimate may lie below the bound (over three standard deviations of 64 minima).
-SLACK = 0.2
-#: The same for the first packed long alone, which has a quarter of the minima.
-FIRST_SLACK = 0.45
-#: Records in one block of a bucket.
-BLOCK = 256
-
-_RARE_MINIMA, _PLAIN_MINIMA = RARE_BANDS * RARE_ROWS, PLAIN_BANDS * PLAIN_ROWS
-_RNG = np.random.default_rng(20240607)
-_MULT = _RNG.integers(1 << 62, dtype=np.uint64, size=_RARE_MINIMA + _PLAIN_MINIMA) * np.uint64(2) + np.uint64(1)
-_ADD = _RNG.integers(1 << 63, dtype=np.uint64, size=_RARE_MINIMA + _PLAIN_MINIMA)
-
-
-def _minima(flat: np.ndarray, starts: np.ndarray, k: int, shift: np.ndarray | None) -> np.ndarray:
-    """Minimum of the k-th hash over each record's words."""
-    with np.errstate(over="ignore"):
-        h = flat * _MULT[k] + _ADD[k]
-        h ^= h >> np.uint64(29)
-        h = (h * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(32)
-    if shift is not None:
-        h = h << shift
-    return np.minimum.reduceat(h, starts)
-
-
-def _sketch(ids: list, texts: list, frequent: np.ndarray) -> pa.RecordBatch:
-    sets = [word_hashes(t) for t in texts]
-    lengths = np.array([len(s) for s in sets])
-    starts = np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64)
-    flat = np.concatenate(sets)
-    shift = np.where(is_frequent(frequent, flat), np.uint64(RARE_FIRST), np.uint64(0))
-    keys = []
-    per_long = 64 // BITS
-    packed = np.zeros((MINIMA // per_long, len(sets)), dtype=np.uint64)
-
-    def join(key: np.ndarray, value: np.ndarray) -> np.ndarray:
-        key = (key ^ value) * np.uint64(0x9E3779B97F4A7C15)
-        return key ^ key >> np.uint64(31)
-
-    with np.errstate(over="ignore"):
-        for band in range(BANDS):
-            key = np.full(len(sets), band + 1, dtype=np.uint64)
-            if band < RARE_BANDS:
-                for row in range(RARE_ROWS):
-                    key = join(key, _minima(flat, starts, band * RARE_ROWS + row, shift))
-            else:
-                for row in range(PLAIN_ROWS):
-                    k = (band - RARE_BANDS) * PLAIN_ROWS + row
-                    least = _minima(flat, starts, _RARE_MINIMA + k, None)
-                    key = join(key, least)
-                    if k < MINIMA:
-                        packed[k // per_long] |= (least & np.uint64((1 << BITS) - 1)) << np.uint64(BITS * (k % per_long))
-            keys.append(key)
-        one = np.add.reduceat(flat * np.uint64(0x9E3779B97F4A7C15) ^ flat >> np.uint64(7), starts)
-        two = np.bitwise_xor.reduceat((flat ^ flat >> np.uint64(33)) * np.uint64(0xC2B2AE3D27D4EB4F), starts)
-    bands = pa.ListArray.from_arrays(pa.array(np.arange(0, BANDS * len(sets) + 1, BANDS), pa.int32()), pa.array(np.stack(keys, axis=1).reshape(-1).view(np.int64)))
-    columns = {"id": pa.array(ids, pa.int64()), "set_a": pa.array(one.view(np.int64)), "set_b": pa.array(two.view(np.int64)), "n": pa.array(lengths, pa.int32()), "bands": bands}
-    columns |= {f"s{i}": pa.array(packed[i].view(np.int64)) for i in range(packed.shape[0])}
-    return pa.RecordBatch.from_pydict(columns)
-
-
-SIGNATURE = tuple(f"s{i}" for i in range(MINIMA * BITS // 64))
-SKETCH_SCHEMA = "id bigint, set_a bigint, set_b bigint, n int, bands array<bigint>, " + ", ".join(f"{c} bigint" for c in SIGNATURE)
-
-
-def sketches(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """Band keys, packed signature and word-set hash per record of ``(id, text)``."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for i in range(0, len(ids), 2048):
-                if texts[i : i + 2048]:
-                    yield _sketch(ids[i : i + 2048], texts[i : i + 2048], frequent)
-
-    return docs.mapInArrow(run, SKETCH_SCHEMA)
+from graylark.llm.prefixes import PARITY, may_reach, prefixes
+from graylark.llm.stored import count_table, distinct_texts, stored, word_hashes
 
-
-def estimate(a: str, b: str, longs: tuple[str, ...] = SIGNATURE):
-    """Similarity from packed signatures (all of their longs or some), by bit counts, corrected for chance collisions."""
-    ones = int("".join(["0" * (BITS - 1) + "1"] * (64 // BITS)), 2)
-    differing = F.lit(0)
-    for c in longs:
-        x = F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}"))
-        any_bit = x
-        for s in range(1, BITS):
-            any_bit = any_bit.bitwiseOR(F.shiftrightunsigned(x, s))
-        differing = differing + F.bit_count(any_bit.bitwiseAND(F.lit(ones)))
-    equal = 1 - differing / F.lit(len(longs) * 64.0 / BITS)
-    chance = 1.0 / (1 << BITS)
-    return (equal - chance) / (1 - chance)
+#: Records in one block of a bucket.
+BLOCK = 2048
 
 
 def bucket_pairs(rows: DataFrame, bucket: str, member: str) -> DataFrame:
@@ -143,21 +45,19 @@ def bucket_pairs(rows: DataFrame, bucket: str, member: str) -> DataFrame:
     return one.select("p", F.explode("ms").alias("q"), "x", "y").where("p.m < q.m and (x = y or p.k <> q.k)").select(F.col("p.m").alias("a"), F.col("q.m").alias("b"))
 
 
-def band_pairs(own: DataFrame, threshold: float) -> DataFrame:
-    """Candidates ``(a, b)``, a < b: pairs in a common bucket whose sizes and first signature word allow the bound.
+def prefix_pairs(own: DataFrame, threshold: float) -> DataFrame:
+    """Candidates ``(a, b)``, a < b: pairs with a common prefix word whose sizes and bitmaps allow the bound.
 
-    Band rows are shuffled once, with the word count and the first packed long; counting a bucket streams over its rows.
+    Prefix rows are shuffled once, with the size and the bitmap; counting a bucket streams over its rows.
     Buckets of at most ``BLOCK`` records are paired where they are; larger ones are divided as in :func:`bucket_pairs`.
     """
-    rows = own.select(F.explode("bands").alias("key"), "id", "n", "s0")  # flat: a struct would be larger in the shuffle
-    counted = rows.withColumn("_n", F.count("*").over(Window.partitionBy("key"))).where("_n > 1").select("key", F.struct("id", "n", "s0").alias("m"), "_n")
+    member = ("id", "n", *PARITY)
+    rows = own.select(F.explode("keys").alias("key"), *member)  # flat: a struct would be larger in the shuffle
+    counted = rows.withColumn("_n", F.count("*").over(Window.partitionBy("key"))).where("_n > 1").select("key", F.struct(*member).alias("m"), "_n")
     lists = counted.where(F.col("_n") <= BLOCK).groupBy("key").agg(F.collect_list("m").alias("ms"))
     few = lists.select(F.explode("ms").alias("p"), "ms").select("p", F.explode("ms").alias("q")).where("p.id < q.id").select(F.col("p").alias("a"), F.col("q").alias("b"))
     many = bucket_pairs(counted.where(F.col("_n") > BLOCK).select("key", "m"), "key", "m")
-    pairs = few.unionByName(many)
-    alike = estimate("a", "b", ("s0",)) >= threshold - FIRST_SLACK
-    sizes = F.least("a.n", "b.n") >= threshold * F.greatest("a.n", "b.n")
-    return pairs.where(sizes & alike).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
+    return few.unionByName(many).where(may_reach("a", "b", threshold)).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
 
 
 def exact_pairs(pairs: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
@@ -190,16 +90,13 @@ def copies_of(sk: DataFrame) -> DataFrame:
 
 
 def similar_representatives(df: DataFrame, key: str, text: str, threshold: float) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Pairs ``(a, b, similarity)`` between representatives, copies ``(rep, id)``, and the sketches of all records."""
+    """Pairs ``(a, b, similarity)`` between representatives, copies ``(rep, id)``, and the prefixes of all records."""
     docs = distinct_texts(df, key, text)
-    frequent = frequent_table(docs, "text", FREQUENT)
-    sk = stored(sketches(spread(docs, "id"), frequent))
+    counts, _ = count_table(docs, "text")
+    sk = stored(prefixes(spread(docs, "id"), counts, threshold))
     copies = stored(copies_of(sk))
     own = sk.join(copies.select("id"), "id", "left_anti")
-    light = own.select("id", *SIGNATURE)
-    both = band_pairs(own, threshold).join(light.alias("l"), F.col("a") == F.col("l.id")).join(light.alias("r"), F.col("b") == F.col("r.id"))
-    kept = both.where(estimate("l", "r") >= threshold - SLACK).select("a", "b")
-    return exact_pairs(stored(kept), docs, threshold), copies, sk
+    return exact_pairs(stored(prefix_pairs(own, threshold)), docs, threshold), copies, sk
 
 
 #: Parts into which the copies of one representative are divided when pairs are expanded.

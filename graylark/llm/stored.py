@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Cells and rows of the frequency sketch: its size doesn't depend on the data.
-CELLS, ROWS = 1 << 15, 3
+CELL_BITS, ROWS = 15, 3
+CELLS = 1 << CELL_BITS
 #: Partial sketches that reach the driver at most (each ``CELLS * ROWS * 8`` bytes).
 PARTS = 8
 
@@ -54,11 +55,11 @@ def word_hashes(text: str) -> np.ndarray:
 
 def cells_of(hashes: np.ndarray) -> list[np.ndarray]:
     """The cell of each hash in each row of the sketch."""
-    return [((hashes >> np.uint64(15 * r)) & np.uint64(CELLS - 1)).astype(np.int64) for r in range(ROWS)]
+    return [((hashes >> np.uint64(CELL_BITS * r)) & np.uint64(CELLS - 1)).astype(np.int64) for r in range(ROWS)]
 
 
-def frequent_table(df: DataFrame, column: str, share: float, hashes=word_hashes) -> np.ndarray:
-    """Which sketch cells count more than ``share`` of all texts; all texts are counted.
+def count_table(df: DataFrame, column: str, hashes=word_hashes) -> tuple[np.ndarray, int]:
+    """A sketch of how many texts hold each hash, and the number of texts; all texts are counted.
 
     Each task counts into a sketch of fixed size, a few reducers add these, and only their sums reach the driver.
     """
@@ -82,9 +83,20 @@ def frequent_table(df: DataFrame, column: str, share: float, hashes=word_hashes)
 
     parts = df.select(column).mapInArrow(count, "part int, n bigint, blob binary").groupBy("part").applyInArrow(add, "n bigint, blob binary").collect()
     if not parts:
-        return np.zeros((ROWS, CELLS), dtype=bool)
+        return np.zeros((ROWS, CELLS), dtype=np.int64), 0
     total = np.sum([np.frombuffer(p.blob, dtype=np.int64) for p in parts], axis=0).reshape(ROWS, CELLS)
-    return total > max(share * sum(p.n for p in parts), 8)
+    return total, sum(p.n for p in parts)
+
+
+def counts_of(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """The count of each hash, never less than the true one."""
+    return np.minimum.reduce([table[r][c] for r, c in enumerate(cells_of(hashes))])
+
+
+def frequent_table(df: DataFrame, column: str, share: float, hashes=word_hashes) -> np.ndarray:
+    """Which sketch cells count more than ``share`` of all texts."""
+    total, n = count_table(df, column, hashes)
+    return total > max(share * n, 8)
 
 
 def is_frequent(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:

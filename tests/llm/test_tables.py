@@ -204,3 +204,18 @@ def test_a_hot_group_of_edited_copies(spark, share):
     want = {(i, j) for (i, a), (j, b) in combinations([(i, t) for i, t in enumerate(texts) if t and t.strip()], 2) if similarity(a, b) >= 0.7}
     got = {(r.id_a, r.id_b) for r in neardup.similar_pairs(df, "id", "text", 0.7).collect()}
     assert got <= want and len(got) >= 0.97 * len(want)
+
+
+@pytest.mark.parametrize("size", [4, 12, 70])
+def test_pairs_near_the_bound_in_a_hot_group(spark, size):
+    """Copies with edits up to the bound, a third of the table: every link is found."""
+    rng = random.Random(13)
+    texts = corpus(200, 14)
+    base = [f"h{i}" for i in range(size)]
+    for _ in range(100):
+        at = set(rng.sample(range(size), rng.randint(0, max(1, size // 10))))
+        texts.append(" ".join(f"e{rng.randrange(10**6)}" if i in at else w for i, w in enumerate(base)))
+    df = spark.createDataFrame(list(enumerate(texts)), "id bigint, text string")
+    want = {(i, j) for (i, a), (j, b) in combinations([(i, t) for i, t in enumerate(texts) if t and t.strip()], 2) if similarity(a, b) >= 0.7}
+    rows = [(r.id_a, r.id_b) for r in neardup.similar_pairs(df, "id", "text", 0.7).collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == want
