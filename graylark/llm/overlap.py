@@ -1,10 +1,11 @@
 """Problem 4: the same or nearly the same records on both sides of a split.
 
-Method: winnowing.  Every text becomes a sequence of hashed word pairs; of each window of ``WINDOW`` of them the
-smallest is kept, rare ones counting as smaller, so that at least one of any run of ``WINDOW`` shared pairs is kept on both
-sides.  Kept fingerprints are joined across the splits by a prefix filter (of each record, the rarest fingerprints that it
-can't do without if it shares ``SHARED`` of them), collinear seeds of a candidate pair are chained, the chain is extended
-by alignment into the gaps between seeds, and the pair's coverage and exact word similarity are reported.
+Method: a prefix filter finds the pairs, winnowing describes them.  Texts on both sides that share one of their rarest words,
+as many of them as the bound asks for, are candidates (see ``prefixes``; every pair at or above the bound is one, whatever
+its length and word order), and are kept if their exact word similarity reaches the bound.  Every kept text becomes a
+sequence of hashed word pairs; of each window of ``WINDOW`` of them the smallest is kept, rare ones counting as smaller;
+collinear seeds that both texts keep are chained, the chain is extended by alignment into the gaps between seeds, and
+the pair's coverage and similarity are reported.
 
 Identical texts are collapsed before and expanded after the join, so a text that many rows share costs as one.
 
@@ -20,19 +21,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graylark.llm.batches import spread
-from graylark.llm.stored import distinct_texts, frequent_table, is_frequent, stored, words
+from graylark.llm.prefixes import PARITY, may_reach, prefixes
+from graylark.llm.stored import count_table, distinct_texts, frequent_table, is_frequent, stored, words
 
 WINDOW = 3
 #: Word pairs in more than this share of all texts are kept last.
 FREQUENT = 0.005
-#: Share of its fingerprints that a record has in common with each of its near copies.
-SHARED = 0.3
-#: Fingerprints that the prefixes of near copies have in common: prefixes are so much longer that this loses none.
-COMMON = 3
+#: Records of the first table in one block of a bucket.
+BLOCK = 2048
 SALTS = 16
 
 
@@ -59,22 +59,6 @@ def winnow(hashes: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.nda
     return at, hashes[at]
 
 
-def fingerprints(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """``(id, fp)``: the distinct kept fingerprints of each text."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, fps = [], []
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                fp = np.unique(winnow(pair_hashes(text), frequent)[1])
-                ids.append(np.full(len(fp), i, np.int64))
-                fps.append(fp)
-            if ids:
-                yield pa.RecordBatch.from_pydict({"id": pa.array(np.concatenate(ids)), "fp": pa.array(np.concatenate(fps).view(np.int64))})
-
-    return docs.mapInArrow(run, "id bigint, fp bigint")
-
-
 def collapse(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows with the smallest id of each text, and ``(rep, id)`` of the others."""
     keyed = docs.select("id", F.unhex(F.md5("text")).alias("digest"))
@@ -83,15 +67,23 @@ def collapse(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return docs.join(copies.select("id"), "id", "left_anti"), copies
 
 
-def _prefix(fps: DataFrame, df: DataFrame) -> DataFrame:
-    """Of each record the rarest fingerprints, and how many of them any near copy must have too.
+def candidates_of(t: DataFrame, e: DataFrame, threshold: float) -> DataFrame:
+    """``(e, t)`` of the records of two tables of prefixes that share a prefix word and whose sizes and bitmaps allow the bound.
 
-    Two records that share T fingerprints have ``k`` of them among the n - T + k rarest of each, for every k up to T.
+    A hot bucket of the first table is divided into blocks, and the other side's rows go to each of them.
     """
-    rank = Window.partitionBy("id").orderBy("df", "fp")
-    ranked = fps.join(df, "fp").withColumn("_r", F.row_number().over(rank)).withColumn("_n", F.count("*").over(Window.partitionBy("id")))
-    ranked = ranked.withColumn("_t", F.ceil(F.col("_n") * SHARED)).withColumn("k", F.least(F.lit(COMMON), F.col("_t")).cast("int"))
-    return ranked.where(F.col("_r") <= F.col("_n") - F.col("_t") + F.col("k")).select("id", "fp", "k")
+    member = ("id", "n", *PARITY)
+
+    def rows(df: DataFrame) -> DataFrame:
+        return df.select(F.explode("keys").alias("key"), F.struct(*member).alias("m"))
+
+    hot = rows(t).groupBy("key").agg(F.count("*").alias("_n")).where(F.col("_n") > BLOCK).select("key", F.ceil(F.col("_n") / BLOCK).cast("int").alias("_blocks"))
+    hot = stored(hot)  # mostly none: Spark broadcasts it
+    blocks = F.coalesce("_blocks", F.lit(1))
+    left = rows(t).join(hot, "key", "left").select("key", F.pmod(F.xxhash64("m.id"), blocks).cast("int").alias("_k"), F.col("m").alias("q"))
+    right = rows(e).join(hot, "key", "left").select("key", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("_k"), F.col("m").alias("p"))
+    pairs = right.join(left, ["key", "_k"]).where(may_reach("p", "q", threshold))
+    return pairs.select(F.col("p.id").alias("e"), F.col("q.id").alias("t")).distinct()
 
 
 def chain(a: np.ndarray, b: np.ndarray, frequent: np.ndarray) -> list[tuple[int, int]]:
@@ -158,12 +150,8 @@ def overlaps(train: DataFrame, evaluation: DataFrame, key: str, text: str, thres
     frequent = frequent_table(t.unionByName(e), "text", FREQUENT, pair_hashes)
     t, t_copies = collapse(t)
     e, e_copies = collapse(e)
-    ft, fe = stored(fingerprints(t, frequent)), stored(fingerprints(e, frequent))
-    df = ft.unionByName(fe).groupBy("fp").agg(F.count("*").alias("df"))
-    pt, pe = _prefix(ft, df), _prefix(fe, df)
-    hits = pe.select(F.col("id").alias("e"), "fp", F.col("k").alias("ke")).join(pt.select(F.col("id").alias("t"), "fp", F.col("k").alias("kt")), "fp")
-    counted = hits.groupBy("e", "t").agg(F.count("*").alias("c"), F.min(F.least("ke", "kt")).alias("k"))
-    candidates = stored(counted.where("c >= k").select("e", "t"))
+    counts, _ = count_table(t.unionByName(e), "text")
+    candidates = stored(candidates_of(stored(prefixes(t, counts, threshold)), stored(prefixes(e, counts, threshold)), threshold))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

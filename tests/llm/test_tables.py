@@ -219,3 +219,19 @@ def test_pairs_near_the_bound_in_a_hot_group(spark, size):
     want = {(i, j) for (i, a), (j, b) in combinations([(i, t) for i, t in enumerate(texts) if t and t.strip()], 2) if similarity(a, b) >= 0.7}
     rows = [(r.id_a, r.id_b) for r in neardup.similar_pairs(df, "id", "text", 0.7).collect()]
     assert len(rows) == len(set(rows)) and set(rows) == want
+
+
+def test_overlap_of_short_and_shuffled_texts(spark):
+    rng = random.Random(15)
+    train, evaluation = [], []
+    for i in range(240):
+        base = [f"w{rng.randrange(5000)}" for _ in range(rng.choice([3, 4, 5, 6, 7, 10, 40]))]
+        copy = base + [f"x{i}"] if i % 2 else base[:]
+        i % 3 or rng.shuffle(copy)
+        copy.insert(rng.randrange(len(copy) + 1), copy.pop())
+        train.append((i, " ".join(base)))
+        evaluation.append((1000 + i, " ".join(copy)))
+    schema = "row_id bigint, text string"
+    found = overlap.overlaps(spark.createDataFrame(train, schema), spark.createDataFrame(evaluation, schema), "row_id", "text", 0.7).collect()
+    want = {(e, t) for e, a in evaluation for t, b in train if similarity(a, b) >= 0.7}
+    assert len(want) >= 240 and len(found) == len(want) and {(r.eval_id, r.train_id) for r in found} == want
