@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from graylark.llm import confusable, leakage, mixing, mojibake, neardup, overlap, pii, replies, sentences
 
@@ -15,6 +17,16 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: (table, key, column) of what problem 6 covers.
+P6_PARTS = (("dataset", "record_id", "text"), ("risk_assessment", "assessment_id", "from_address"), ("domain_analysis", "assessment_id", "sender_domain"))
+
+
+def _united(spark: SparkSession, sf_dir: str, parts: tuple, operator: Callable[[DataFrame, str, str], DataFrame]) -> DataFrame:
+    """``(tab, row_key, ...)``: an operator's rows over several columns."""
+    frames = [operator(_table(spark, sf_dir, tab), key, column).withColumnRenamed(key, "row_key") for tab, key, column in parts]
+    return functools.reduce(DataFrame.unionByName, [f.select(F.lit(tab).alias("tab"), *f.columns) for f, (tab, _, _) in zip(frames, parts)])
+
+
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mojibake.damaged_records(_table(spark, sf_dir, "dataset"), "record_id", "text")
 
@@ -63,13 +75,12 @@ def p5_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = (("dataset", "record_id", "text"), ("risk_assessment", "assessment_id", "from_address"), ("domain_analysis", "assessment_id", "sender_domain"))
-    frames = [confusable.cases(_table(spark, sf_dir, tab), key, column, tab) for tab, key, column in parts]
+    frames = [confusable.cases(_table(spark, sf_dir, tab), key, column, tab) for tab, key, column in P6_PARTS]
     return frames[0].unionByName(frames[1]).unionByName(frames[2])
 
 
 def p6_unified(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return confusable.unify(_table(spark, sf_dir, "risk_assessment"), "assessment_id", "from_address")
+    return _united(spark, sf_dir, P6_PARTS, confusable.unify)
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
