@@ -17,7 +17,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: (table, key, column) of what problem 6 covers.
+#: (table, key, column) of what problems 5 and 6 cover.
+P5_PARTS = (("dataset", "record_id", "text"), ("risk_assessment", "assessment_id", "from_address"))
 P6_PARTS = (("dataset", "record_id", "text"), ("risk_assessment", "assessment_id", "from_address"), ("domain_analysis", "assessment_id", "sender_domain"))
 
 
@@ -65,13 +66,12 @@ def p4_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = (("dataset", "record_id", "text"), ("risk_assessment", "assessment_id", "from_address"))
-    frames = [pii.mention_rows(_table(spark, sf_dir, tab), key, column, tab) for tab, key, column in parts]
+    frames = [pii.mention_rows(_table(spark, sf_dir, tab), key, column, tab) for tab, key, column in P5_PARTS]
     return frames[0].unionByName(frames[1])
 
 
 def p5_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.redacted(_table(spark, sf_dir, "dataset"), "record_id", "text")
+    return _united(spark, sf_dir, P5_PARTS, pii.redacted)
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:

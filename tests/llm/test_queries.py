@@ -17,3 +17,10 @@ def covered(spark, name, parts):
 
 def test_unified_covers_all_columns(spark):
     covered(spark, "p6_unified", ("dataset", "risk_assessment", "domain_analysis"))
+
+
+def test_redacted_covers_all_columns(spark):
+    covered(spark, "p5_redacted", ("dataset", "risk_assessment"))
+    found = {(r.tab, r.row_key) for r in queries.p5_found(spark, DATA).where("tab = 'risk_assessment'").collect()}
+    rows = {(r.tab, r.row_key): r.redacted for r in queries.p5_redacted(spark, DATA).where("tab = 'risk_assessment'").collect()}
+    assert found and all("[" in rows[k] for k in found)
