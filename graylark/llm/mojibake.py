@@ -32,14 +32,19 @@ SINGLE_BYTE = (
 MAX_CHAIN = 4
 #: Description bytes for each step of a chain.
 STEP_COST = 1
+#: The same for a single-byte chain of words that nothing marks: one rare name must not make a chain.
+DOUBT_COST = 4
 UTF8_RUN = re.compile(rb"[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}")
 #: What a restored character may be: the scripts and signs that running text uses.
 PLAUSIBLE = re.compile("^[\xa0-ſȘ-țˆ˜Ά-ώЁ-џҐґא-ת؀-ۿऀ-ॿ฀-๿ - ₠-₿№™←-⇿　-ヿ一-鿿가-힣＀-￯ﬁﬂ﻿\U0001f300-\U0001faff]+$")
 TOKEN = re.compile("[A-Za-z]*[^\x00-\x7f][A-Za-z\x80-\U0010ffff]*")
 LOST = re.compile("[\x80-\x9f�]")
-#: Words that a single-byte misreading could have made: runs of accented letters, signs and rare letters inside
+#: Words that a single-byte misreading has surely marked: runs of accented letters, signs and rare letters inside
 #: words, and capitals where Cyrillic words have small letters (the two halves of KOI8 are swapped).
 ODD = re.compile("[À-ÿ]{3}|[^\\W\\d_][³¹¿º¼½¾ª][^\\W\\d_]|[^\\W\\d_][³¹¿]$|[ýþðÝÞÐæÆ\x80-\x9f]|[а-я][А-Я]{2}|[А-Я]{3}")
+#: Any other word that one could have made: description length decides.  Quotes, dashes and currency signs alone are no
+#: evidence, as their UTF-8 is longer than that of the letters at their places in other encodings.
+UNUSUAL = re.compile("[^\x00-\x7f\xa0‘’“”„«»–—…¿¡ºª£€]")
 ONLY_ODD_UTF8 = re.compile("â€|Ã[\x80-\xbf€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ]|Â[\xa0-¿]|ï»¿|ï¿½|Ã¢â|‚Ä[ùúôîì]|вЂ")
 
 def _encoders() -> dict[str, dict[str, int]]:
@@ -181,9 +186,9 @@ def repair_word(word: str) -> str:
     return best
 
 
-def explain(words: list[str]) -> tuple[str, str] | None:
+def explain(words: list[str], cost_of_chain: int = STEP_COST) -> tuple[str, str] | None:
     """The single-byte chain that gives these words together a shorter description than they have."""
-    least, chain = description_length(" ".join(words).lower()) + 2 * sum(map(_odd, words)) - STEP_COST, None
+    least, chain = description_length(" ".join(words).lower()) + 2 * sum(map(_odd, words)) - cost_of_chain, None
     for pair in SINGLE_BYTE:
         new = [_reread(w, *pair) for w in words]
         if new == words or None in new or LOST.search(text := " ".join(new)) or not all(map(_one_script, new)):
@@ -194,12 +199,17 @@ def explain(words: list[str]) -> tuple[str, str] | None:
     return chain
 
 
+@lru_cache(maxsize=1 << 15)
+def _explain_doubtful(words: tuple[str, ...]) -> tuple[str, str] | None:
+    return explain(list(words), DOUBT_COST)
+
+
 def repair(text: str | None) -> tuple[str | None, bool]:
     """The restored text, and whether any of it was damaged."""
     if not text or text.isascii():
         return text, False
     damaged = bool(LOST.search(text))
-    out, last, odd = [], 0, []
+    out, last, odd, other = [], 0, [], []
     for m in TOKEN.finditer(text):
         word = m.group()
         new = repair_word(word)
@@ -210,13 +220,16 @@ def repair(text: str | None) -> tuple[str | None, bool]:
             last = m.end()
         elif ODD.search(word):
             odd.append(word)
+        elif UNUSUAL.search(word):
+            other.append(word)
     if out:
         out.append(text[last:])
         text = "".join(out)
-    if odd:
+    chain = _explain_doubtful(tuple(dict.fromkeys((*odd, *other)))) if other else None
+    if odd and not chain:  # sound words beside the marked ones fit no chain
         chain = explain(odd)
-        if chain:
-            text, damaged = _redecode(text, chain), True
+    if chain:
+        text, damaged = _redecode(text, chain), True
     return text, damaged or bool(ONLY_ODD_UTF8.search(text))
 
 

@@ -26,6 +26,22 @@ def test_chains_and_losses():
     assert mojibake.repair("Мы заменили деталей".encode("cp1251").decode("cp1252"))[1]
 
 
+RUSSIAN, POLISH, WESTERN = "Мы заменили детали в устройстве и отправили протокол", "proszę się będzie środę kwotę", "für nächste réunion société numéro"
+MEANT = {"cp1251": RUSSIAN, "koi8-r": RUSSIAN, "cp866": RUSSIAN, "cp1250": POLISH, "iso8859-2": POLISH, "cp1254": "lütfen şifre değişikliği için tıklayın", "cp1253": "Παρακαλώ ελέγξτε τον λογαριασμό σας", "mac_roman": WESTERN, "cp1252": WESTERN}
+
+
+@pytest.mark.parametrize("wrong, meant", mojibake.SINGLE_BYTE)
+def test_each_single_byte_chain_comes_back(wrong, meant):
+    table = {b: c for c, b in mojibake.ENCODERS[wrong].items()}
+    damaged = "".join(table[b] if b > 127 else chr(b) for b in MEANT[meant].encode(meant))
+    assert mojibake.repair(damaged) == (MEANT[meant], True)
+
+
+@pytest.mark.parametrize("text", ["Søren Valmère", "NÃO, não", "£78 £89 Søren", "I’d – won’t", "€85,378.14 José", "Añadimos señor mañana", "être prêt pour la réunion"])
+def test_sound_words_that_nothing_marks_stay(text):
+    assert mojibake.repair(text) == (text, False)
+
+
 @pytest.mark.parametrize("text", [None, "", "   ", "plain", "Größe “heiß“ Ü“ À l’école", "Встреча НОМЕР Её СССР»", "créée naïve Ÿ", "日本語。 한국어", "ｆｕｌｌ", "Τι κάνεις;"])
 def test_sound_texts_stay(text):
     assert mojibake.repair(text) == (text, False)
