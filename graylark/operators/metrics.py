@@ -1,4 +1,8 @@
-"""Evaluation aggregates over frames of truth ``y`` and prediction ``p``."""
+"""Evaluation aggregates over frames of truth ``y`` and prediction ``p``.
+
+Every figure comes from the counts of the distinct (y, p), a handful of rows: predictions are computed once per row,
+combined before the shuffle, and whatever expression made them stands in the plan once.
+"""
 
 from __future__ import annotations
 
@@ -14,14 +18,25 @@ def _ratio(a: Column, b: Column) -> Column:
     return F.when(b > 0, a / b).otherwise(F.lit(0.0))
 
 
-def _grid(df: DataFrame, labels: list[int]) -> DataFrame:
-    return df.sparkSession.createDataFrame([(y, p) for y in labels for p in labels], "y int, p int")
+def pair_counts(df: DataFrame, *columns: str) -> DataFrame:
+    """``(*columns, n)`` with the columns as numbers; ``y`` and ``p`` by default."""
+    columns = columns or ("y", "p")
+    return df.groupBy(*[F.col(c).cast("int").alias(c) for c in columns]).agg(F.count("*").alias("n"))
+
+
+def _summed(condition: Column) -> Column:
+    return F.coalesce(F.sum(F.when(condition, F.col("n"))), F.lit(0)).cast("bigint")
 
 
 def confusion(df: DataFrame, labels: list[int] | None = None) -> DataFrame:
-    """Dense matrix ``(y, p, n)`` over all labels; the counts are tiny and joined to the grid by broadcast."""
-    counts = df.groupBy(F.col("y").cast("int").alias("y"), F.col("p").cast("int").alias("p")).agg(F.count("*").alias("n"))
-    return _grid(df, labels or sorted(LABELS)).join(F.broadcast(counts), ["y", "p"], "left").select("y", "p", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
+    """Dense matrix ``(y, p, n)`` over all labels.
+
+    A join to a grid of labels would push null checks, and with them the whole prediction, into the scan once more.
+    """
+    cells = [(y, p) for y in labels or sorted(LABELS) for p in labels or sorted(LABELS)]
+    one = pair_counts(df).agg(*[_summed((F.col("y") == y) & (F.col("p") == p)).alias(f"n{i}") for i, (y, p) in enumerate(cells)])
+    rows = F.array(*[F.struct(F.lit(y).alias("y"), F.lit(p).alias("p"), F.col(f"n{i}").alias("n")) for i, (y, p) in enumerate(cells)])
+    return one.select(F.explode(rows).alias("r")).select("r.*")
 
 
 def row_normalised(matrix: DataFrame) -> DataFrame:
@@ -32,25 +47,24 @@ def row_normalised(matrix: DataFrame) -> DataFrame:
 
 
 def per_class(df: DataFrame, names: Mapping[int, str] | None = None) -> DataFrame:
-    """Precision, recall, F1 and support of every label of the map; a zero denominator gives zero.
+    """Precision, recall, F1 and support of every label of the map; a zero denominator gives zero."""
+    return _per_class(pair_counts(df), names or LABELS)
 
-    One pass: all counters are conditional sums of a single aggregate.
-    """
-    names = names or LABELS
+
+def _per_class(counts: DataFrame, names: Mapping[int, str]) -> DataFrame:
     y, p = F.col("y"), F.col("p")
-    sums = []
-    for k in names:
-        sums += [F.sum(F.when((y == k) & (p == k), 1).otherwise(0)).alias(f"t{k}"), F.sum(F.when(p == k, 1).otherwise(0)).alias(f"p{k}"), F.sum(F.when(y == k, 1).otherwise(0)).alias(f"y{k}")]
-    one = df.agg(*sums)
-    rows = F.array(*[F.struct(F.lit(k).alias("label"), F.lit(v).alias("name"), *[F.coalesce(F.col(f"{c}{k}"), F.lit(0)).cast("bigint").alias(c) for c in "tpy"]) for k, v in names.items()])
-    long = one.select(F.explode(rows).alias("r")).select("r.*")
+    sums = [_summed(c).alias(f"{f}{k}") for k in names for f, c in (("t", (y == k) & (p == k)), ("p", p == k), ("y", y == k))]
+    rows = F.array(*[F.struct(F.lit(k).alias("label"), F.lit(v).alias("name"), *[F.col(f"{c}{k}").alias(c) for c in "tpy"]) for k, v in names.items()])
+    long = counts.agg(*sums).select(F.explode(rows).alias("r")).select("r.*")
     out = long.withColumn("precision", _ratio(F.col("t"), F.col("p"))).withColumn("recall", _ratio(F.col("t"), F.col("y")))
     out = out.withColumn("f1", _ratio(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
     return out.select("label", "name", "precision", "recall", "f1", F.col("y").alias("support"), F.col("p").alias("predicted"))
 
 
 def accuracy(df: DataFrame) -> DataFrame:
-    return df.agg(F.coalesce(F.avg((F.col("y") == F.col("p")).cast("int")), F.lit(0.0)).alias("accuracy"), F.count("*").alias("n"))
+    known = F.col("y").isNotNull() & F.col("p").isNotNull()
+    share = _summed(F.col("y") == F.col("p")) / F.nullif(_summed(known), F.lit(0))
+    return pair_counts(df).agg(F.coalesce(share, F.lit(0.0)).alias("accuracy"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
 
 
 def macro_scores(df: DataFrame, names: Mapping[int, str] | None = None) -> DataFrame:
@@ -62,8 +76,12 @@ def macro_scores(df: DataFrame, names: Mapping[int, str] | None = None) -> DataF
 
 def binary_scores(df: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
     """Precision, recall and F1 with 1 as the positive class."""
-    a, b = F.col(y).cast("int"), F.col(p).cast("int")
-    one = df.agg(*[F.coalesce(F.sum(F.when(c, 1).otherwise(0)), F.lit(0)).alias(n) for n, c in (("t", (a == 1) & (b == 1)), ("p", b == 1), ("y", a == 1))])
+    return _binary(pair_counts(df.select(F.col(y).alias("y"), F.col(p).alias("p"))))
+
+
+def _binary(counts: DataFrame) -> DataFrame:
+    a, b = F.col("y"), F.col("p")
+    one = counts.agg(_summed((a == 1) & (b == 1)).alias("t"), _summed(b == 1).alias("p"), _summed(a == 1).alias("y"))
     out = one.withColumn("precision", _ratio(F.col("t"), F.col("p"))).withColumn("recall", _ratio(F.col("t"), F.col("y")))
     return out.select("precision", "recall", _ratio(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")).alias("f1"))
 
@@ -75,13 +93,16 @@ def class_recalls(df: DataFrame) -> DataFrame:
 
 def layer_comparison(df: DataFrame) -> DataFrame:
     """Binary F1 of the model, the rules and either of them; null for the last two without a ``rules_pred`` column."""
-    model = binary_scores(df.select("y", "p")).select(F.lit("model_only").alias("layer"), "f1")
     if "rules_pred" not in df.columns:
         empty = df.sparkSession.createDataFrame([("rules_only", None), ("fused", None)], "layer string, f1 double")
-        return model.unionByName(empty)
-    rules = binary_scores(df.select("y", F.col("rules_pred").alias("p"))).select(F.lit("rules_only").alias("layer"), "f1")
-    both = binary_scores(df.select("y", F.greatest(F.col("p").cast("int"), F.col("rules_pred").cast("int")).alias("p"))).select(F.lit("fused").alias("layer"), "f1")
-    return model.unionByName(rules).unionByName(both)
+        return binary_scores(df).select(F.lit("model_only").alias("layer"), "f1").unionByName(empty)
+    counts = pair_counts(df, "y", "p", "rules_pred")
+    ways = {"model_only": F.col("p"), "rules_only": F.col("rules_pred"), "fused": F.greatest("p", "rules_pred")}
+    long = counts.select("y", "n", F.explode(F.array(*[F.struct(F.lit(k).alias("layer"), v.alias("p")) for k, v in ways.items()])).alias("w")).select("y", "n", "w.layer", "w.p")
+    a, b = F.col("y"), F.col("p")
+    one = long.groupBy("layer").agg(_summed((a == 1) & (b == 1)).alias("t"), _summed(b == 1).alias("p"), _summed(a == 1).alias("y"))
+    named = one.sparkSession.createDataFrame([(k,) for k in ways], "layer string").join(F.broadcast(one), "layer", "left")
+    return named.select("layer", F.coalesce(_ratio(2 * F.col("t"), F.col("p") + F.col("y")), F.lit(0.0)).alias("f1"))
 
 
 def metrics_document(df: DataFrame, names: Mapping[int, str] | None = None) -> dict:

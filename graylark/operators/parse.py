@@ -24,13 +24,13 @@ MECHANISMS = ("spf", "dkim", "dmarc")
 
 def header_block(raw: Column) -> Column:
     """Everything before the first line that no header block holds."""
-    block = F.regexp_extract(raw, rf"(?s)\A(.*?)(?:\z|(?<=\n)(?!{HEADER_LINE}))", 1)
-    return F.when(raw.rlike(rf"\A{HEADER_LINE}"), block).otherwise(F.lit(""))
+    # possessive: one pass over the lines, whatever the block's length
+    return F.regexp_extract(raw, rf"\A(?:{HEADER_LINE}[^\n]*+(?:\n|\z))*+", 0)
 
 
-def raw_body(raw: Column) -> Column:
+def raw_body(raw: Column, block: Column) -> Column:
     """What follows the header block and one empty line."""
-    return F.regexp_replace(F.substr(raw, F.length(header_block(raw)) + 1), r"\A\r?\n", "")
+    return F.regexp_replace(F.substr(raw, F.length(block) + 1), r"\A\r?\n", "")
 
 
 def _field(name: str) -> str:
@@ -107,15 +107,20 @@ def parsed(df: DataFrame, raw: str = "raw_eml") -> DataFrame:
         .withColumn("reply_to", header(F.col("_block"), "reply-to"))
         .withColumn("content_type", F.lower(F.regexp_extract(header(F.col("_block"), "content-type"), r"\A([^;\s]*)", 1)))
         .withColumns({m: auth_result(F.col("_block"), m) for m in MECHANISMS})
-        .withColumn("_raw_body", raw_body(F.col(raw)))
+        .withColumn("_raw_body", raw_body(F.col(raw), F.col("_block")))
+        .withColumn("_needs_mime", needs_mime(F.col("_block")))
         .drop("_block", "_from")
     )
 
 
-def mime_text(raw: str | None) -> str:
-    """Body text by a full MIME parse: plain parts joined; an HTML part only while nothing was found; bad bytes dropped."""
+def mime_parts(raw: str | None) -> tuple[str, str]:
+    """Body text and link text by a full MIME parse; bytes that aren't UTF-8 are dropped.
+
+    The body text has the plain parts, and an HTML part only while nothing was found.  The link text has every decoded
+    plain and HTML part as it stands, or the content of a message without parts; attachments of other kinds have no say.
+    """
     if not raw:
-        return ""
+        return "", ""
     message = email.message_from_bytes(raw.encode("utf-8", "surrogatepass"))
 
     def decoded(part) -> str:
@@ -124,15 +129,19 @@ def mime_text(raw: str | None) -> str:
 
     if not message.is_multipart():
         text = decoded(message)
-        return (_strip_html(text) if message.get_content_type() == "text/html" else text).strip()
+        return (_strip_html(text) if message.get_content_type() == "text/html" else text).strip(), text or str(message.get_payload())
+    texts = [(part.get_content_type(), decoded(part)) for part in message.walk() if part.get_content_type() in ("text/plain", "text/html")]
     found: list[str] = []
-    for part in message.walk():
-        kind = part.get_content_type()
+    for kind, text in texts:
         if kind == "text/plain":
-            found.append(decoded(part))
-        elif kind == "text/html" and not found:
-            found.append(_strip_html(decoded(part)))
-    return "\n".join(found).strip()
+            found.append(text)
+        elif not found:
+            found.append(_strip_html(text))
+    return "\n".join(found).strip(), "\n".join(t for _, t in texts)
+
+
+def mime_text(raw: str | None) -> str:
+    return mime_parts(raw)[0]
 
 
 def _strip_html(html: str) -> str:
@@ -140,24 +149,23 @@ def _strip_html(html: str) -> str:
     return re.sub(r"\s+", " ", re.sub(r"<[^>]+>", " ", text)).strip()
 
 
-def needs_mime(raw: Column) -> Column:
-    block = header_block(raw)
+def needs_mime(block: Column) -> Column:
     return header(block, "content-type").rlike(r"(?i)\A\s*multipart/") | header(block, "content-transfer-encoding").rlike(r"(?i)base64|quoted-printable")
 
 
 def with_body(df: DataFrame, raw: str = "raw_eml") -> DataFrame:
-    """Adds ``body_text``; only multipart and encoded messages are handed to Python, the others as nulls.
+    """Adds ``body_text`` and ``_link_text``; only multipart and encoded messages are handed to Python, the others as nulls.
 
     A union of two filtered branches would read the table twice and push the filters' long expressions through the plan.
     """
 
-    @F.pandas_udf("string")
-    def by_mime(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: None if t is None else mime_text(t))
+    @F.pandas_udf("body string, links string")
+    def by_mime(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([(None, None) if t is None else mime_parts(t) for t in texts], columns=["body", "links"])
 
     native = strip(F.when(F.col("content_type") == "text/html", strip_html(F.col("_raw_body"))).otherwise(F.col("_raw_body")))
-    marked = df.withColumn("_mime", F.when(F.coalesce(needs_mime(F.col(raw)), F.lit(False)), F.col(raw)))
-    return marked.withColumn("_mime", by_mime("_mime")).withColumn("body_text", F.coalesce("_mime", native)).drop("_mime")
+    marked = df.withColumn("_mime", by_mime(F.when(F.coalesce("_needs_mime", F.lit(False)), F.col(raw))))
+    return marked.withColumn("body_text", F.coalesce("_mime.body", native)).withColumn("_link_text", F.coalesce("_mime.links", "_raw_body")).drop("_mime", "_needs_mime")
 
 
 def parse_address(value: Column) -> Column:

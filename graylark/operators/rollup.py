@@ -9,11 +9,12 @@ RECENT = 12
 
 
 def verdict_counts(df: DataFrame, verdict: str = "final_verdict") -> DataFrame:
+    """Six counters over the few rows of a count by verdict, so the verdict is computed once per message."""
     v = F.col(verdict)
-    n = lambda c: F.count_if(c)
-    return df.agg(
-        F.count("*").alias("total"), n(v == "ai_phish").alias("ai_phish"), n(v == "phishing").alias("phishing_human"), n(v.isin("phishing", "ai_phish")).alias("phishing_all"),
-        n(v == "suspicious").alias("suspicious"), n(v == "clean").alias("clean"),
+    n = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0)).alias
+    return df.groupBy(v).agg(F.count("*").alias("n")).agg(
+        n(F.lit(True))("total"), n(v == "ai_phish")("ai_phish"), n(v == "phishing")("phishing_human"), n(v.isin("phishing", "ai_phish"))("phishing_all"),
+        n(v == "suspicious")("suspicious"), n(v == "clean")("clean"),
     )
 
 

@@ -69,14 +69,14 @@ def auth_any_fail(spf: Column, dkim: Column, dmarc: Column) -> Column:
 
 
 def signals(df: DataFrame, ages: DataFrame | None = None) -> DataFrame:
-    """Adds the signal columns to a parsed frame; ``ages (sender_domain, domain_age_days)`` is an optional dimension."""
+    """Adds the signal columns to a parsed frame with bodies; ``ages (sender_domain, domain_age_days)`` is an optional dimension."""
     dom = F.col("sender_domain")
     out = df.withColumn("is_freemail", is_freemail(dom)).withColumn("_look", lookalike(dom))
     out = out.withColumn("lookalike_of", F.col("_look.brand")).withColumn("lookalike_score", F.coalesce(F.col("_look.score"), F.lit(0.0))).drop("_look")
     out = out.withColumn("reply_to_mismatch", reply_to_mismatch(F.col("reply_to"), dom))
     out = out.withColumn("display_name_mismatch", display_name_mismatch(F.col("from_display"), dom))
     out = out.withColumn("urgency_hits", urgency_hits(F.col("subject")))
-    out = out.withColumn("link_domains", link_domains(F.col("_raw_body")))
+    out = out.withColumn("link_domains", link_domains(F.col("_link_text")))
     out = out.withColumn("link_domain_mismatch", link_mismatch(F.col("link_domains"), dom))
     if ages is None:
         return out.withColumn("domain_age_days", F.lit(None).cast("int")).withColumn("domain_age_source", F.lit("unavailable"))
