@@ -120,17 +120,87 @@ def test_shortest_passages_pass_the_filter(spark):
     assert [tuple(r) for r in leakage.leaks(docs, items, "doc_id", "item_id").collect()] == [(1, 7)]
 
 
-def test_banded_distance():
-    assert leakage.banded_distance("abcdef", "xxabcdefyy", 4) == 0
-    assert leakage.banded_distance("abcdef", "abXdef", 4) == 1 and leakage.banded_distance("abcdef", "abdef", 4) == 1 and leakage.banded_distance("abcdef", "abcZZdef", 4) == 2
+def plain_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_distance_against_the_plain_table():
+    rng = random.Random(3)
+    for _ in range(400):
+        a, b = ("".join(rng.choice("abц ") for _ in range(rng.randrange(0, 90))) for _ in range(2))
+        assert leakage.distance(a, b) == plain_distance(a, b)
+
+
+def test_longest_stretches_against_brute_force():
+    rng = random.Random(4)
+    for _ in range(300):
+        ends, edits, at = [], [], 0
+        for k in range(rng.randint(1, 9)):
+            at += rng.randint(0, 40)
+            ends.append((at, at := at + rng.randint(12, 60)))
+            edits.append((edits[-1] if edits else 0) + (rng.randint(1, 12) if k else 0))
+        within = [(ends[j][1] - ends[i][0], i, j) for i in range(len(ends)) for j in range(i, len(ends)) if ends[j][1] - ends[i][0] >= 50 and edits[j] - edits[i] <= 0.1 * (ends[j][1] - ends[i][0]) + 1e-9]
+        got = leakage.stretches(ends, edits, 0.1, 50)
+        assert bool(got) == bool(within)
+        if got:
+            assert ends[got[0][1]][1] - ends[got[0][0]][0] == max(within)[0]
+            assert all(edits[j] - edits[i] <= 0.1 * (ends[j][1] - ends[i][0]) + 1e-9 for i, j in got)
+
+
+def made_up(rng, n):
+    return " ".join("".join(rng.choice("abcdefghijklmnoprstuvw") for _ in range(rng.randint(2, 9))) for _ in range(n))
+
+
+def found_passages(spark, docs, items, **more):
+    docs, items = (spark.createDataFrame(list(enumerate(x)), "id bigint, text string") for x in (docs, items))
+    return sorted(tuple(r) for r in leakage.passages(docs, items, "id", "id", **more).collect())
 
 
 def test_edited_passages(spark):
-    item = "half of the jury marked the message as harmless because somebody signed below, yet the seal was drawn with crayons and cost a lot of money that nobody had"
-    doc = "before it " + item.replace("harmless", "harmles").replace("crayons", "crayonz") + " and after"
-    docs, items = spark.createDataFrame([(1, doc)], "doc_id bigint, text string"), spark.createDataFrame([(5, item)], "item_id bigint, text string")
-    row = leakage.passages(docs, items, "doc_id", "item_id").first()
-    assert (row.doc_id, row.item_id) == (1, 5) and 1 <= row.edits <= 3
+    rng = random.Random(11)
+    item = made_up(rng, 60)
+    ws = item.split()
+    ws[10], ws[30] = ws[10] + "x", "y"
+    del ws[45]
+    (row,) = found_passages(spark, ["before it " + " ".join(ws) + " and after", made_up(rng, 80)], [item])
+    assert row[:2] == (0, 0) and row[5] == plain_distance(" " + " ".join(ws) + " ", " " + item + " ") and row[4] - row[3] >= len(" ".join(ws)) - 2 * leakage.Q
+
+
+def test_all_regions_of_a_pair_are_verified(spark):
+    """A rewritten middle hides neither end, a stray q-gram hides no passage, and passages on other diagonals count too."""
+    rng = random.Random(12)
+    item = made_up(rng, 120)
+    head, tail = item[:160], item[-160:]
+    middle = made_up(rng, 60)[: len(item) - 320]
+    stray = item[200:214] + " " + made_up(rng, 8) + " " + item[300:520]
+    moved = made_up(rng, 10) + " " + item[250:420] + " " + made_up(rng, 30) + " " + item[20:180]
+    rows = found_passages(spark, [head + middle + tail, stray, moved], [item])
+    assert [r[0] for r in rows].count(0) == 2 and [r[0] for r in rows].count(2) == 2
+    assert any(r[0] == 1 and r[4] - r[3] >= 200 for r in rows)
+
+
+def test_a_repeated_opening_is_aligned_at_its_place(spark):
+    rng = random.Random(13)
+    phrase = made_up(rng, 5)
+    item = phrase + " " + made_up(rng, 30) + " " + phrase + " " + made_up(rng, 30)
+    part = item[item.rindex(phrase) :]
+    rows = found_passages(spark, ["zz " + part], [item])
+    assert len(rows) == 1 and rows[0][5] == 0 and rows[0][4] - rows[0][3] >= len(part)
+
+
+def test_items_in_several_blocks(spark, monkeypatch):
+    rng = random.Random(14)
+    items = [made_up(rng, 40) for _ in range(6)]
+    docs = [f"x {t} y" for t in items]
+    monkeypatch.setattr(leakage, "BLOCK_CHARS", 300)
+    assert [r[:2] for r in found_passages(spark, docs, items)] == [(i, i) for i in range(6)]
+    d, i = (spark.createDataFrame(list(enumerate(x)), "id bigint, text string") for x in (docs, items))
+    assert sorted(tuple(r) for r in leakage.leaks(d, i, "id", "id").collect()) == [(k, k) for k in range(6)]
 
 
 @pytest.mark.parametrize("parts", [{"a": 5000, "b": 5000}, {"a": 9000, "b": 700, "c": 200, "d": 100}, {"a": 3333, "b": 3333, "c": 3334}])
