@@ -100,7 +100,7 @@ def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sentences.sentence_rows(_table(spark, sf_dir, "documents"), "doc_id", "text")
+    return sentences.sentence_rows(_table(spark, sf_dir, "documents"), "doc_id", "text", "lang")
 
 
 def queries() -> dict[str, Query]:

@@ -119,6 +119,28 @@ def test_sentences(text, want):
     assert units(text) == want
 
 
+@pytest.mark.parametrize(
+    "text, lang, want",
+    [
+        ("Please call me. Then we can go.", None, 2), ("The answer is no. She left early.", None, 2), ("He likes modern art. She prefers music.", None, 2), ("Das ist meine Art. Er geht.", None, 2),
+        ("Please call me. Then we can go.", "fr", 2), ("Das ist meine Art. Er geht.", "en", 2), ("He took vitamin C. The rest was left.", "en", 2),
+        ("Voir Me. Dupont pour les actes.", "fr", 1), ("It is in No. 5 and art. 12 of the act.", "en", 1), ("Es steht in Art. 12 und Abs. 3 im Gesetz.", "de", 1), ("Es steht in Art. 12 und Abs. 3 im Gesetz.", "EN", 1),
+        ("По данным, потеряно ок. 95 евро, т. е. всё, см. AB-1.", "en", 1), ("La Dra. Ruiz dijo: «Es falso.»", "de", 1), ("It is Mr. Smith. He knows it.", "xx", 2),
+    ],
+)
+def test_abbreviations_by_language(text, lang, want):
+    assert len(sentences.sentences(text, lang)) == want
+
+
+def test_terminators_of_every_script():
+    import regex
+
+    marks = regex.findall(r"\p{Sentence_Terminal}", "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)])))
+    assert len(marks) > 160
+    for mark in marks:
+        assert [len(x) for x in units(f"ሀሁሂ ሃሄህ{mark} ለሉሊ ላሌል{mark}")] == [8, 8], hex(ord(mark))
+
+
 def test_long_texts_are_processed_whole():
     rng = random.Random(0)
     body = "\n".join(" ".join(rng.choice(["please", "send", "the", "report", "Größe", "on", "Monday."]) for _ in range(12)) for _ in range(20000))
