@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from graylark.llm.batches import rows_schema, scan, spread
-from graylark.llm.langseeds import SEEDS
+from graylark.llm.langseeds import SENTENCES, pieces, vocabulary
 from graylark.llm.mojibake import repair_word
 
 INVISIBLE = "​‌‍⁠⁡⁢⁣⁤﻿­᠎͏"
@@ -47,11 +47,15 @@ OUTSIDE = -9.0
 
 @lru_cache(maxsize=1)
 def _bigrams() -> dict[str, float]:
-    """Log probability of each letter after another, per script, from the seed texts."""
+    """Log probability of each letter after another, per script, from the public vocabulary and sentences."""
     pairs, firsts = Counter(), Counter()
-    for text in SEEDS.values():
-        for word in LETTERS.findall(text.lower()):
-            for a, b in zip("^" + word, word):
+    known = [p for p in vocabulary() if p.isascii()] + [p for lang in SENTENCES for p in pieces(lang)]
+    for lang, text in SENTENCES.items():
+        known += [" " + w for w in LETTERS.findall(text)]
+    for piece in known:
+        for word in LETTERS.findall(piece.lower()):
+            start = "^" if piece[0] == " " else ""
+            for a, b in zip(start + word, (start + word)[1:]):
                 pairs[a + b] += 1
                 firsts[a] += 1
     return {p: math.log((n + 0.1) / (firsts[p[0]] + 6)) for p, n in pairs.items()}

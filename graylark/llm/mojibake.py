@@ -1,10 +1,18 @@
 """Problem 1: find and undo text that was decoded with the wrong encoding.
 
-Method: minimum description length.  For every suspicious word the operator builds the candidate decodings
-(chains of "encode with the encoding that was wrongly used, decode with the one that was meant"), compresses
-each with zstandard dictionaries primed per language, adds the chain's own cost, and takes the shortest
-description; without a shorter one the word stays as it is.  Words are the unit because damage is often
-local, and because a word's verdict can be kept in a cache: a corpus has few distinct damaged words.
+Method: minimum description length.  For every word with a character beyond ASCII the operator builds the candidate decodings:
+chains of steps "encode with the encoding that was wrongly used, decode with the one that was meant", in any number and
+mixture.  A decoding's length is what zstandard needs for the word behind a sentence of a language, under a dictionary of
+that language (the language that suits best counts); to it come the chain's own cost and, where a step leaves characters
+of the word unexplained, the cost of saying so.  The shortest description wins; without a shorter one the word stays.
+
+UTF-8 read as something else is decided word by word, by the mean of coded and plain length: chance hardly ever makes valid
+UTF-8, so the bytes of a word that the dictionaries don't know count too.  A single-byte encoding read as another gives letters
+for letters, so there the dictionaries alone decide, over many words at once: the stretch of words that a chain would shorten
+most, word by word, is compressed as a whole before and after, and the chain wins if it saves more than it costs.
+
+Words are the unit because damage is often local, and because a word's lengths can be kept in a cache: a corpus has few
+distinct damaged words.
 
 Defined results: null and empty texts are clean; replacement characters and C1 controls mark a record as
 damaged but are not restorable; very long texts are processed whole, in one pass.
@@ -20,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from graylark.llm.batches import rows_schema, scan, spread
-from graylark.llm.langseeds import SEEDS
+from graylark.llm.langseeds import ALPHABETS, SENTENCES, pieces, vocabulary
 
 #: Encodings in which UTF-8 bytes are commonly misread.
 WRONG_FOR_UTF8 = ("cp1252", "mac_roman", "cp1251", "cp1250", "cp1254", "cp437")
@@ -29,23 +37,20 @@ SINGLE_BYTE = (
     ("cp1252", "cp1251"), ("cp1252", "koi8-r"), ("cp1251", "koi8-r"), ("koi8-r", "cp1251"), ("cp866", "cp1251"), ("cp1251", "cp866"),
     ("cp1252", "cp1250"), ("cp1252", "iso8859-2"), ("cp1252", "cp1254"), ("cp1252", "cp1253"), ("cp1252", "mac_roman"), ("mac_roman", "cp1252"),
 )
-MAX_CHAIN = 4
-#: Description bytes for each step of a chain.
-STEP_COST = 1
-#: The same for a single-byte chain of words that nothing marks: one rare name must not make a chain.
-DOUBT_COST = 4
+#: Description bytes for each step of a chain, for each letter of a word that a step leaves unexplained, for a letter that the
+#: language doesn't have, and for a single-byte chain: one rare name must not make one; a chain that holds for a part of the words must say for which.
+STEP_COST, LEFT_COST, ALIEN_COST, CHAIN_COST, STRETCH_COST = 0.5, 4, 1, 3, 3
+#: Bytes by which the length of a single word may be wrong.
+ROUGH = 2.5
 UTF8_RUN = re.compile(rb"[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}")
 #: What a restored character may be: the scripts and signs that running text uses.
 PLAUSIBLE = re.compile("^[\xa0-ſȘ-țˆ˜Ά-ώЁ-џҐґא-ת؀-ۿऀ-ॿ฀-๿ - ₠-₿№™←-⇿　-ヿ一-鿿가-힣＀-￯ﬁﬂ﻿\U0001f300-\U0001faff]+$")
 TOKEN = re.compile("[A-Za-z]*[^\x00-\x7f][A-Za-z\x80-\U0010ffff]*")
 LOST = re.compile("[\x80-\x9f�]")
-#: Words that a single-byte misreading has surely marked: runs of accented letters, signs and rare letters inside
-#: words, and capitals where Cyrillic words have small letters (the two halves of KOI8 are swapped).
-ODD = re.compile("[À-ÿ]{3}|[^\\W\\d_][³¹¿º¼½¾ª][^\\W\\d_]|[^\\W\\d_][³¹¿]$|[ýþðÝÞÐæÆ\x80-\x9f]|[а-я][А-Я]{2}|[А-Я]{3}")
-#: Any other word that one could have made: description length decides.  Quotes, dashes and currency signs alone are no
+#: Words that can be evidence for a single-byte chain.  Quotes, dashes and currency signs alone are no
 #: evidence, as their UTF-8 is longer than that of the letters at their places in other encodings.
 UNUSUAL = re.compile("[^\x00-\x7f\xa0‘’“”„«»–—…¿¡ºª£€]")
-ONLY_ODD_UTF8 = re.compile("â€|Ã[\x80-\xbf€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ]|Â[\xa0-¿]|ï»¿|ï¿½|Ã¢â|‚Ä[ùúôîì]|вЂ")
+
 
 def _encoders() -> dict[str, dict[str, int]]:
     """Character to byte per encoding; bytes that the encoding leaves open stand for themselves."""
@@ -66,34 +71,87 @@ def _encoders() -> dict[str, dict[str, int]]:
 
 
 ENCODERS = _encoders()
+#: What may also come out of a step, if another follows.
+BETWEEN = frozenset(c for name in WRONG_FOR_UTF8 for c in ENCODERS[name]) | frozenset(map(chr, range(0x80, 0x100)))
+
+
+HOW = dict(window_log=16, chain_log=13, hash_log=13, search_log=6, min_match=3, target_length=999, strategy=zstandard.STRATEGY_BTULTRA, write_content_size=False, write_checksum=False, write_dict_id=False)
+DICTIONARY_BYTES, PIECES, SAMPLE = 1 << 14, 1500, 30
+
+
+class _Language:
+    """The length of words behind text of a language, under its dictionary.
+
+    The dictionary (content and entropy tables) is trained on the public vocabulary and sentence of ``langseeds``.  Words are
+    measured behind known text and a run of letters that the dictionary doesn't have, so that they pay for themselves, not
+    for the start of a frame; the mean over several such texts is finer than whole bytes.
+    """
+
+    def __init__(self, lang: str) -> None:
+        own, sentence = pieces(lang), SENTENCES[lang].lower()
+        words = own
+        if own and not any(c.isascii() and c.isalpha() for c in sentence):
+            words = [own[i % len(own)] for i in range(max(PIECES, len(own)))]
+        else:  # languages that write mostly ASCII letters
+            plain = [p for p in vocabulary() if p.isascii() and (p.islower() or p[0] == " ")]
+            words = [w for i in range(PIECES) for w in ((own[i % len(own)], plain[i % len(plain)]) if own else (plain[i % len(plain)],))]
+        samples = [(sentence[i * 7 % 100 :][:60] + " " + " ".join(p.strip() for p in words[i : i + SAMPLE])).lower().encode() for i in range(0, len(words), SAMPLE)]
+        how = zstandard.ZstdCompressionParameters(**HOW)
+        dictionary = zstandard.train_dictionary(DICTIONARY_BYTES, samples, k=64, d=6)
+        dictionary.precompute_compress(compression_params=how)
+        self.compress = zstandard.ZstdCompressor(compression_params=how, dict_data=dictionary).compress
+        self.before = [(sentence[k : k + 20] + sentence[k + 20 : k + 44][::-1] + " ").encode() for k in (0, 31, 62, 93)]
+        self.base = sum(len(self.compress(x)) for x in self.before)
+
+    def length(self, word: bytes) -> float:
+        return (sum(len(self.compress(x + word)) for x in self.before) - self.base) / len(self.before)
+
+    def whole(self, text: bytes) -> int:
+        return len(self.compress(text))
 
 
 @lru_cache(maxsize=1)
-def _compressors() -> list[zstandard.ZstdCompressor]:
-    out = []
-    for text in SEEDS.values():
-        words = zstandard.ZstdCompressionDict(text.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        how = zstandard.ZstdCompressionParameters(window_log=15, chain_log=12, hash_log=12, search_log=5, min_match=3, target_length=999, strategy=zstandard.STRATEGY_BTULTRA, write_content_size=False, write_checksum=False, write_dict_id=False)
-        words.precompute_compress(compression_params=how)
-        out.append(zstandard.ZstdCompressor(compression_params=how, dict_data=words))
-    return out
+def _languages() -> dict[str, _Language]:
+    return {lang: _Language(lang) for lang in SENTENCES}
+
+
+LETTERS_OF = {lang: frozenset(x) for lang, x in ALPHABETS.items()}
+
 
+def _beyond_ascii(low: str) -> list[str]:
+    """Letters and signs; quotes, dashes and currency signs belong to all languages."""
+    return [c for c in low if c > "\x7f" and c not in "‘’“”„«»–—…¿¡£€"]
 
-def description_length(text: str) -> int:
-    """Bytes of ``text`` under the dictionary of the language that suits it best."""
-    data = text.encode("utf-8", "surrogatepass")
-    return min(len(c.compress(data)) for c in _compressors()) - 9
 
+@lru_cache(maxsize=1 << 12)
+def _suited(letters: frozenset[str]) -> tuple[str, ...]:
+    """Languages whose alphabet has most of these letters."""
+    lacking = {lang: len(letters - own) for lang, own in LETTERS_OF.items()}
+    least = min(lacking.values())
+    return tuple(lang for lang, n in lacking.items() if n == least and (letters or lang == "en")) if least < len(letters) or not letters else ("en",)
 
-def _odd(text: str) -> int:
-    """Signs and controls directly beside letters, and letters of two scripts side by side: rare in real words."""
-    n = 0
-    for a, b in zip(text, text[1:]):
-        if a.isalpha() != b.isalpha() and (a > "\x7f" or b > "\x7f") and a not in "‘’“”„«»–—…¿¡ºª£€" and b not in "‘’“”„«»–—…¿¡ºª£€":
-            n += 1
-        elif a.isalpha() and b.isalpha() and (("Ͱ" <= a < "԰") != ("Ͱ" <= b < "԰")):
-            n += 1
-    return n + len(LOST.findall(text)) * 2
+
+@lru_cache(maxsize=1 << 18)
+def description_length(word: str) -> float:
+    """Bytes that a word takes in the language that suits it best."""
+    low = word.lower()
+    data, letters = low.encode("utf-8", "surrogatepass") + b" ", _beyond_ascii(low)
+    languages = _languages()
+    return min(languages[lang].length(data) + ALIEN_COST * sum(c not in LETTERS_OF[lang] for c in letters) for lang in _suited(frozenset(letters)))
+
+
+@lru_cache(maxsize=1 << 14)
+def joint_length(words: tuple[str, ...]) -> int:
+    """Bytes that words take together, in the one language that suits all of them best; languages that lack many more of the letters than another are left out."""
+    low = (" ".join(words) + " ").lower()
+    data, letters = low.encode("utf-8", "surrogatepass"), _beyond_ascii(low)
+    alien = {lang: sum(c not in own for c in letters) for lang, own in LETTERS_OF.items()}
+    near = min(alien.values()) + 2
+    return min(_languages()[lang].whole(data) + ALIEN_COST * n for lang, n in alien.items() if n <= near)
+
+
+def _mean_length(word: str) -> float:
+    return (description_length(word) + len(word.encode("utf-8", "surrogatepass"))) / 2
 
 
 #: Texts without one of these hold no word that :func:`repair_word` changes.
@@ -109,27 +167,31 @@ def _one_script(text: str) -> bool:
     return len(set(groups)) < 2 and groups != [4]
 
 
-def _undo_utf8(text: str, encoding: str) -> str:
-    """Reread the runs of ``text`` that are UTF-8 under ``encoding``; other characters stay."""
+def _scripts(text: str) -> set[int]:
+    return {m.lastindex for m in SCRIPTS.finditer(text)}
+
+
+def _undo_utf8(text: str, encoding: str) -> tuple[str, int]:
+    """``text`` with its runs of UTF-8 under ``encoding`` reread, and how many letters beyond ASCII the step leaves unexplained."""
     table = ENCODERS[encoding]
     out, run = [], []
-    kept = False  # letters beside the reread ones
+    left = 0
 
     def close() -> None:
-        nonlocal kept
+        nonlocal left
         data, last = bytes(table[c] for c in run), 0
         for m in UTF8_RUN.finditer(data):
             try:
                 char = m.group().decode("utf-8")
             except UnicodeDecodeError:
                 continue
-            if not PLAUSIBLE.match(char) and not ("\x80" <= char <= "\xff"):
+            if not PLAUSIBLE.match(char) and char not in BETWEEN:
                 continue
-            kept |= any(c.isalpha() for c in run[last : m.start()])
+            left += sum(c.isalpha() for c in run[last : m.start()])
             out.extend(run[last : m.start()])
             out.append(char)
             last = m.end()
-        kept |= any(c.isalpha() for c in run[last:])
+        left += sum(c.isalpha() for c in run[last:])
         out.extend(run[last:])
         run.clear()
 
@@ -139,18 +201,11 @@ def _undo_utf8(text: str, encoding: str) -> str:
         else:
             if run:
                 close()
+            left += c > "\x7f" and c.isalpha()
             out.append(c)
     if run:
         close()
-    new = "".join(out)
-    if encoding == "cp1251" and new != text and not ASCII_LETTER.search(text):
-        # a Cyrillic word with a quote or a rare letter behind a capital is no damage: all its letters must be explained, in Cyrillic
-        if kept or any("\x7f" < c < "Ͱ" and c.isalpha() for c in new):
-            return text
-    return new
-
-
-ASCII_LETTER = re.compile("[A-Za-z]")
+    return "".join(out), left
 
 
 def _reread(text: str, wrong: str, meant: str) -> str | None:
@@ -161,55 +216,89 @@ def _reread(text: str, wrong: str, meant: str) -> str | None:
         return None
 
 
+#: Two characters beyond ASCII side by side: without them nothing is UTF-8.
+ADJACENT = re.compile("[^\x00-\x7f]{2}")
+
+
 @lru_cache(maxsize=1 << 17)
 def repair_word(word: str) -> str:
-    """The word with UTF-8 chains undone, or itself."""
-    best, least, at = word, description_length(word) + 2 * _odd(word), word
+    """The decoding of a word by chains that undo UTF-8 (also behind a single-byte step) with the shortest description, or the word."""
+    if not ADJACENT.search(word):
+        return word
+    middles = {_reread(word, *pair) for pair in SINGLE_BYTE} - {None, word}
+    best, least = word, None
     tried = {word}
-    frontier = [word]
-    for step in range(1, MAX_CHAIN + 1):
-        grown = []
-        for text in frontier:
-            for encoding in WRONG_FOR_UTF8:
-                new = _undo_utf8(text, encoding)
-                if new not in tried:
+    for start in (word, *sorted(middles)):
+        frontier = [(start, 2 * CHAIN_COST if start in middles else 0)]
+        while frontier:  # every step makes the text shorter
+            grown = []
+            for text, cost in frontier:
+                for encoding in WRONG_FOR_UTF8:
+                    new, left = _undo_utf8(text, encoding)
+                    if new == text or new in tried or (left and text in middles):
+                        continue  # behind a single-byte step the whole word must be UTF-8
                     tried.add(new)
-                    grown.append(new)
-                    if not _one_script(new):
-                        continue
-                    cost = description_length(new) + 2 * _odd(new) + STEP_COST * step
-                    if cost < least:
-                        best, least = new, cost
-        if not grown:
-            break
-        frontier = grown
+                    # letters of one script that become letters of another may be a word already
+                    left += text.isalpha() and len(_scripts(text)) == 1 and not _scripts(new) <= _scripts(text)
+                    so_far = cost + STEP_COST + LEFT_COST * left
+                    grown.append((new, so_far))
+                    if _one_script(new):
+                        if least is None:
+                            least = _mean_length(word)
+                        if (length := _mean_length(new) + so_far) < least:
+                            best, least = new, length
+            frontier = grown
     return best
 
 
-def explain(words: list[str], cost_of_chain: int = STEP_COST) -> tuple[str, str] | None:
-    """The single-byte chain that gives these words together a shorter description than they have."""
-    least, chain = description_length(" ".join(words).lower()) + 2 * sum(map(_odd, words)) - cost_of_chain, None
-    for pair in SINGLE_BYTE:
-        new = [_reread(w, *pair) for w in words]
-        if new == words or None in new or LOST.search(text := " ".join(new)) or not all(map(_one_script, new)):
-            continue
-        cost = description_length(text.lower()) + 2 * sum(map(_odd, new))
-        if cost < least:
-            least, chain = cost, pair
+@lru_cache(maxsize=1 << 17)
+def gains(word: str) -> tuple[tuple[int, float], ...]:
+    """``(chain, bytes saved)`` of every single-byte chain that can be undone in a word."""
+    out = []
+    for k, pair in enumerate(SINGLE_BYTE):
+        new = _reread(word, *pair)
+        if new is not None and new != word and not LOST.search(new) and _one_script(new):
+            out.append((k, description_length(word) - description_length(new)))
+    return tuple(out)
+
+
+def explain(words: list[str]) -> tuple[tuple[str, str], frozenset[str]] | None:
+    """The single-byte chain, and the words it holds for, that saves most over all words that it can carry, or over a stretch of them, if that is more than it costs.
+
+    Word by word the lengths are rough: they choose the stretch, and rule out chains that lengthen nearly every word.
+    """
+    by_chain: dict[int, list[tuple[str, float]]] = {}
+    for w in words:
+        for k, g in gains(w):
+            by_chain.setdefault(k, []).append((w, g))
+    best, chain = float(CHAIN_COST), None
+    for k, carried in by_chain.items():
+        tried = []
+        if sum(g for _, g in carried) > -ROUGH * len(carried):
+            tried.append((0, len(carried), 0))
+        total, start, most, span = 0.0, 0, 0.0, (0, 0)
+        for i, (_, g) in enumerate(carried):
+            if total <= 0:
+                total, start = 0.0, i
+            total += g
+            if total > most:
+                most, span = total, (start, i + 1)
+        if most > CHAIN_COST and span != (0, len(carried)):
+            tried.append((*span, STRETCH_COST))
+        for a, b, cost in tried:
+            old = tuple(w for w, _ in carried[a:b])
+            saved = joint_length(old) - joint_length(tuple(_reread(w, *SINGLE_BYTE[k]) for w in old)) - cost
+            if saved > best:
+                best, chain = saved, (SINGLE_BYTE[k], frozenset(old))
     return chain
 
 
-@lru_cache(maxsize=1 << 15)
-def _explain_doubtful(words: tuple[str, ...]) -> tuple[str, str] | None:
-    return explain(list(words), DOUBT_COST)
-
-
 def repair(text: str | None) -> tuple[str | None, bool]:
     """The restored text, and whether any of it was damaged."""
     if not text or text.isascii():
         return text, False
     damaged = bool(LOST.search(text))
-    out, last, odd, other = [], 0, [], []
+    out, last, others = [], 0, {}
     for m in TOKEN.finditer(text):
         word = m.group()
         new = repair_word(word)
@@ -218,30 +307,22 @@ def repair(text: str | None) -> tuple[str | None, bool]:
             out.append(text[last : m.start()])
             out.append(new)
             last = m.end()
-        elif ODD.search(word):
-            odd.append(word)
         elif UNUSUAL.search(word):
-            other.append(word)
+            others[word] = None
     if out:
         out.append(text[last:])
         text = "".join(out)
-    chain = _explain_doubtful(tuple(dict.fromkeys((*odd, *other)))) if other else None
-    if odd and not chain:  # sound words beside the marked ones fit no chain
-        chain = explain(odd)
-    if chain:
-        text, damaged = _redecode(text, chain), True
-    return text, damaged or bool(ONLY_ODD_UTF8.search(text))
+    chain = explain(list(others)) if others else None
+    return (_redecode(text, *chain), True) if chain else (text, damaged)
 
 
-def _redecode(text: str, chain: tuple[str, str]) -> str:
-    """Every word of the text that the chain can carry, where it doesn't lengthen the description much."""
+def _redecode(text: str, chain: tuple[str, str], sure: frozenset[str]) -> str:
+    """The words that the chain holds for, and others that it can carry and doesn't lengthen much."""
 
     def word(m: re.Match) -> str:
         old = m.group()
         new = _reread(old, *chain)
-        if new is None or LOST.search(new):
-            return old
-        return new if description_length(new) + 2 * _odd(new) <= description_length(old) + 2 * _odd(old) + 1 else old
+        return new if old in sure or new is not None and not LOST.search(new) and _one_script(new) and description_length(new) <= description_length(old) + 1 else old
 
     return TOKEN.sub(word, text)
 

@@ -42,6 +42,46 @@ def test_sound_words_that_nothing_marks_stay(text):
     assert mojibake.repair(text) == (text, False)
 
 
+#: The first article of the Universal Declaration of Human Rights in languages that no dictionary has.
+HELD_OUT = {
+    "bg": ("Всички хора се раждат свободни и равни по достойнство и права. Те са надарени с разум и съвест и следва да се отнасят помежду си в дух на братство.", (("cp1251", "koi8-r"), ("koi8-r", "cp1251"), ("cp1252", "cp1251"), ("cp866", "cp1251"))),
+    "da": ("Alle mennesker er født frie og lige i værdighed og rettigheder. De er udstyret med fornuft og samvittighed, og de bør handle mod hverandre i en broderskabets ånd.", ()),
+    "sk": ("Všetci ľudia sa rodia slobodní a sebe rovní, čo sa týka ich dôstojnosti a práv. Sú obdarení rozumom a majú navzájom jednať v bratskom duchu.", ()),
+    "fi": ("Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä.", ()),
+}
+
+
+def misread(text, wrong, meant):
+    table = {b: c for c, b in mojibake.ENCODERS[wrong].items()}
+    return "".join(table[b] if b > 127 else chr(b) for b in text.encode(meant))
+
+
+@pytest.mark.parametrize("lang", HELD_OUT)
+def test_languages_without_a_dictionary(lang):
+    text, chains = HELD_OUT[lang]
+    assert mojibake.repair(text) == (text, False)
+    assert mojibake.repair(misread(text, "cp1252", "utf-8")) == (text, True)
+    for wrong, meant in chains:
+        assert mojibake.repair(misread(text, wrong, meant)) == (text, True), (wrong, meant)
+
+
+def test_the_dictionaries_decide(monkeypatch):
+    """With plain byte counts for lengths no single-byte chain is found: letters stand for letters."""
+    text, chains = HELD_OUT["bg"]
+    damaged = [misread(text, *c) for c in chains[:2]]
+    assert all(mojibake.repair(x)[1] for x in damaged)
+    mojibake.gains.cache_clear()
+    monkeypatch.setattr(mojibake, "description_length", lambda w: float(len(w.encode())))
+    monkeypatch.setattr(mojibake, "joint_length", lambda ws: len(" ".join(ws).encode()))
+    assert not any(mojibake.repair(x)[1] for x in damaged)
+    mojibake.gains.cache_clear()
+
+
+def test_mixed_chains_come_back():
+    """UTF-8 read as cp1251, kept in cp1251 and read as KOI8-R."""
+    assert mojibake.repair(misread(misread("отчёт готов", "cp1251", "utf-8"), "koi8-r", "cp1251")) == ("отчёт готов", True)
+
+
 @pytest.mark.parametrize("text", [None, "", "   ", "plain", "Größe “heiß“ Ü“ À l’école", "Встреча НОМЕР Её СССР»", "créée naïve Ÿ", "日本語。 한국어", "ｆｕｌｌ", "Τι κάνεις;"])
 def test_sound_texts_stay(text):
     assert mojibake.repair(text) == (text, False)
