@@ -225,11 +225,12 @@ def repair_word(word: str) -> str:
     """The decoding of a word by chains that undo UTF-8 (also behind a single-byte step) with the shortest description, or the word."""
     if not ADJACENT.search(word):
         return word
-    middles = {_reread(word, *pair) for pair in SINGLE_BYTE} - {None, word}
+    letters = any(c > "\x7f" and c.isalpha() for c in word)
+    middles = {_reread(word, *pair) for pair in SINGLE_BYTE} - {None, word} if letters else set()
     best, least = word, None
     tried = {word}
     for start in (word, *sorted(middles)):
-        frontier = [(start, 2 * CHAIN_COST if start in middles else 0)]
+        frontier = [(start, CHAIN_COST if start in middles else 0)]
         while frontier:  # every step makes the text shorter
             grown = []
             for text, cost in frontier:
