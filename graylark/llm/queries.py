@@ -66,7 +66,7 @@ def p4_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    frames = [pii.mention_rows(_table(spark, sf_dir, tab), key, column, tab) for tab, key, column in P5_PARTS]
+    frames = [pii.mention_rows(_table(spark, sf_dir, tab), key, column, tab, pii.FIVE) for tab, key, column in P5_PARTS]
     return frames[0].unionByName(frames[1])
 
 

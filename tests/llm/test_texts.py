@@ -114,6 +114,55 @@ def test_mentions():
     assert pii.mentions(None) == [] and pii.mentions("") == [] and pii.redact(None) is None
 
 
+UNLISTED = (
+    "Priya Raghunathan|Kwame Mensah|Xiomara Delgado|Bjorn Lindqvist|Tunde Adeyemi|Siobhan Kavanagh|Hiroshi Tanaka|Mei-Ling Zhou|Olumide Bakare|Rashid Al-Farouk|Anneliese Brandt|Tomasz Wieczorek|Gwendolyn Price|Ravi Subramanian|Ekaterina Volkova|Dimitris Papadakis|"
+    "Eilidh MacLeod|Farida Hosseini|Jorge Villanueva|Kirsten Aagaard|Lorenzo Bianchi|Maeve Gallagher|Ngozi Okafor|Osagie Eze|Petra Novotna|Quentin Dubois|Rosalind Hargreaves|Sanjay Kulkarni|Deborah Miller|Nguyen Thanh"
+).split("|")
+AROUND = (
+    "Please call {} before noon.", "Kind regards,\n{}\nSales Manager\n+1 555 010 2000", "From: {} <x.y@mail.example>\nTo: a@b.example", "On 3 May 2021, at 10:10, {} wrote:\n> hi", "I spoke with Ms. {} yesterday.", "The parcel for {} went missing.",
+    "Ask Dr. {} about it.", "{} said the invoice is late.", "The file was sent by {} on Monday.", "Bitte rufen Sie Frau {} an.", "To: {}\nSubject: x", "{} asked for the report.",
+)
+
+
+def test_names_that_no_list_has():
+    unlisted = [x for x in UNLISTED if x.split()[0].lower() not in pii.GIVEN]
+    assert len(unlisted) >= 28
+    texts = [(t.format(x), t.index("{}")) for x in unlisted for t in AROUND]
+    assert sum(("person", a) in {(k, b) for k, b, _ in pii.mentions(t)} for t, a in texts) >= 0.95 * len(texts)
+
+
+@pytest.mark.parametrize(
+    "text",
+    ["The Ember Compass project starts on Monday.", "We moved to Northern Ireland last May.", "Invoice from Harbour Freight Works is due.", "See Quality Control for New York.", "Kind Regards,\nThe Team", "He flew to San Francisco and Los Angeles.", "The Data Protection Officer asked for it.", "Viele Grüße\nEuer Team"],
+)
+def test_no_names(text):
+    assert not [m for m in pii.mentions(text) if m[0] == "person"]
+
+
+@pytest.mark.parametrize(
+    "text, kind",
+    [
+        ("Pay to DE89 3704 0044 0532 0130 00 today", "iban"), ("Pay to GB82WEST12345698765432.", "iban"), ("Card 4111 1111 1111 1111 is blocked", "card"), ("Card 4111-1111-1111-1111 is blocked", "card"), ("паспорт 4510 123456", "id_number"), ("ИНН 7707083893", "id_number"),
+        ("NIP 1234563218", "id_number"), ("PESEL 44051401359", "id_number"), ("call +44 20 7946 0018 now", "phone"),
+        ("Pay to DE88 3704 0044 0532 0130 00 today", None), ("Card 4111 1111 1111 1112 is blocked", None), ("order 555-123-4567 shipped", None), ("7707083893", None),
+    ],
+)
+def test_validators_and_context_confirm(text, kind):
+    assert [k for k, *_ in pii.mentions(text)] == ([kind] if kind else [])
+
+
+def test_validators_decide(monkeypatch):
+    assert pii.redact("DE89 3704 0044 0532 0130 00 and 4111 1111 1111 1111") == "[IBAN] and [CARD]"
+    monkeypatch.setattr(pii, "luhn", lambda _: False)
+    monkeypatch.setattr(pii, "mod97", lambda _: False)
+    assert not {"iban", "card"} & {k for k, *_ in pii.mentions("DE89 3704 0044 0532 0130 00 and 4111 1111 1111 1111")}
+
+
+def test_a_sure_name_is_sure_everywhere():
+    text = "Priya Raghunathan, as before.\n\nFrom: Priya Raghunathan <p@x.example>"
+    assert [k for k, *_ in pii.mentions(text)].count("person") == 2
+
+
 def test_offsets_refer_to_the_stored_text():
     text = "​foo⁠bar@x.example and JosÃ© Haldavar"
     assert [(k, a) for k, a, _ in pii.mentions(text)] == [("email", 1), ("person", 23)]
