@@ -6,7 +6,7 @@ can't reach the bound, thin the candidates, and the rest is compared exactly.  N
 (b-bit MinHash) lose links near the bound in groups that are a large part of the table.
 
 Shape of the work: records with the same word set are represented by one of them, so that copies never multiply
-candidates; buckets are joined in blocks (see ``BLOCK``), so that no task holds a whole hot bucket; pairs of
+candidates; hot buckets are divided into blocks before their rows meet, so that no task holds a whole one; pairs of
 representatives are expanded to records at the end, again in blocks.  Only sketches of fixed size reach the driver.
 
 Similarity: shared distinct words over distinct words of either text, words being the non-empty pieces of the
@@ -23,41 +23,40 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from graylark.llm import prefixes as P
 from graylark.llm.batches import spread
-from graylark.llm.prefixes import PARITY, may_reach, prefixes
-from graylark.llm.stored import count_table, distinct_texts, stored, word_hashes
+from graylark.llm.prefixes import PARITY, divided, may_reach, prefixes
+from graylark.llm.stored import count_table, discard, distinct_texts, stored, word_hashes
 
-#: Records in one block of a bucket.
-BLOCK = 2048
 
+def cell_pairs(rows: DataFrame, bucket: str, member: str) -> DataFrame:
+    """``(p, q)``, p < q, for all members of ``rows (bucket, member, _blocks)`` that share a bucket, each pair once for each bucket.
 
-def bucket_pairs(rows: DataFrame, bucket: str, member: str) -> DataFrame:
-    """``(a, b)``, a < b, for all members that share a bucket, each pair once for each bucket they share.
-
-    Members of a bucket are spread over ``ceil(size / BLOCK)`` blocks and every pair of blocks is a join key of its own,
-    so a hot bucket is divided among tasks, each of which holds two blocks at a time.
+    Members of a bucket are spread over its blocks and every pair of blocks is a join key of its own, so a hot bucket is
+    divided among tasks, each of which holds two blocks at a time.
     """
-    sizes = rows.groupBy(bucket).agg(F.count("*").alias("_n")).where("_n > 1").select(bucket, F.ceil(F.col("_n") / BLOCK).cast("int").alias("_blocks"))
-    placed = rows.join(sizes, bucket).select(bucket, F.col(member).alias("m"), "_blocks", F.pmod(F.xxhash64(member), F.col("_blocks")).cast("int").alias("k"))
+    placed = rows.select(bucket, F.col(member).alias("m"), "_blocks", F.pmod(F.xxhash64(member), F.col("_blocks")).cast("int").alias("k"))
     spread_rows = placed.select(bucket, "m", "k", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_o"))
     cells = spread_rows.groupBy(bucket, F.least("k", "_o").alias("x"), F.greatest("k", "_o").alias("y")).agg(F.collect_list(F.struct("m", "k")).alias("ms"))
     one = cells.where(F.size("ms") > 1).select(F.explode("ms").alias("p"), "ms", "x", "y")
-    return one.select("p", F.explode("ms").alias("q"), "x", "y").where("p.m < q.m and (x = y or p.k <> q.k)").select(F.col("p.m").alias("a"), F.col("q.m").alias("b"))
+    return one.select("p", F.explode("ms").alias("q"), "x", "y").where("p.m < q.m and (x = y or p.k <> q.k)").select(F.col("p.m").alias("p"), F.col("q.m").alias("q"))
 
 
 def prefix_pairs(own: DataFrame, threshold: float) -> DataFrame:
     """Candidates ``(a, b)``, a < b: pairs with a common prefix word whose sizes and bitmaps allow the bound.
 
-    Prefix rows are shuffled once, with the size and the bitmap; counting a bucket streams over its rows.
-    Buckets of at most ``BLOCK`` records are paired where they are; larger ones are divided as in :func:`bucket_pairs`.
+    Words that the sketch has in few texts are paired bucket by bucket.  The buckets of the others are counted first
+    (combining before the shuffle); the large ones are divided into blocks before any of their rows meet in a task.
     """
     member = ("id", "n", *PARITY)
-    rows = own.select(F.explode("keys").alias("key"), *member)  # flat: a struct would be larger in the shuffle
-    counted = rows.withColumn("_n", F.count("*").over(Window.partitionBy("key"))).where("_n > 1").select("key", F.struct(*member).alias("m"), "_n")
-    lists = counted.where(F.col("_n") <= BLOCK).groupBy("key").agg(F.collect_list("m").alias("ms"))
-    few = lists.select(F.explode("ms").alias("p"), "ms").select("p", F.explode("ms").alias("q")).where("p.id < q.id").select(F.col("p").alias("a"), F.col("q").alias("b"))
-    many = bucket_pairs(counted.where(F.col("_n") > BLOCK).select("key", "m"), "key", "m")
-    return few.unionByName(many).where(may_reach("a", "b", threshold)).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
+    few = own.select(F.explode("keys").alias("key"), *member)  # flat: a struct would be larger in the shuffle
+    frequent = own.select(F.explode("hot").alias("key"), *member)
+    placed = frequent.join(divided(frequent), "key", "left")
+    small = few.unionByName(placed.where("_blocks is null").drop("_blocks"))
+    lists = small.groupBy("key").agg(F.collect_list(F.struct(*member)).alias("ms")).where(F.size("ms") > 1)
+    pairs = lists.select(F.explode("ms").alias("p"), "ms").select("p", F.explode("ms").alias("q")).where("p.id < q.id")
+    large = cell_pairs(placed.where("_blocks is not null").select("key", F.struct(*member).alias("m"), "_blocks"), "key", "m")
+    return pairs.unionByName(large).where(may_reach("p", "q", threshold)).select(F.col("p.id").alias("a"), F.col("q.id").alias("b")).distinct()
 
 
 def exact_pairs(pairs: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
@@ -83,10 +82,10 @@ def exact_pairs(pairs: DataFrame, docs: DataFrame, threshold: float) -> DataFram
 
 
 def copies_of(sk: DataFrame) -> DataFrame:
-    """``(rep, id)`` of every record whose word set a record with a smaller id has too."""
+    """``(rep, id, _blocks)`` of every record whose word set a record with a smaller id has too, and in how many blocks they are expanded."""
     sets = sk.select("id", "set_a", "set_b")
-    reps = sets.groupBy("set_a", "set_b").agg(F.min("id").alias("rep"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
-    return sets.join(reps, ["set_a", "set_b"]).where("id <> rep").select("rep", "id")
+    reps = sets.groupBy("set_a", "set_b").agg(F.min("id").alias("rep"), F.ceil(F.count("*") / P.BLOCK).cast("int").alias("_blocks"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    return sets.join(reps, ["set_a", "set_b"]).where("id <> rep").select("rep", "id", "_blocks")
 
 
 def similar_representatives(df: DataFrame, key: str, text: str, threshold: float) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -99,15 +98,12 @@ def similar_representatives(df: DataFrame, key: str, text: str, threshold: float
     return exact_pairs(stored(prefix_pairs(own, threshold)), docs, threshold), copies, sk
 
 
-#: Parts into which the copies of one representative are divided when pairs are expanded.
-SALTS = 16
-
-
-def _with_copies(pairs: DataFrame, side: str, copies: DataFrame) -> DataFrame:
-    """Each pair once more for every copy of the record on one side."""
-    salted = copies.select(F.col("rep").alias(side), F.col("id").alias("_copy"), F.pmod(F.xxhash64("id"), F.lit(SALTS)).alias("_salt"))
-    wide = pairs.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
-    more = wide.join(salted, [side, "_salt"]).withColumn(side, F.col("_copy")).select(*pairs.columns)
+def with_copies(pairs: DataFrame, side: str, copies: DataFrame) -> DataFrame:
+    """Each pair once more for every copy of the record on one side; many copies meet the pair in blocks."""
+    blocks = copies.groupBy(F.col("rep").alias(side)).agg(F.max("_blocks").alias("_blocks"))
+    placed = copies.select(F.col("rep").alias(side), F.col("id").alias("_copy"), F.pmod(F.xxhash64("id"), F.col("_blocks")).cast("int").alias("_block"))
+    wide = pairs.join(blocks, side).withColumn("_block", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    more = wide.join(placed, [side, "_block"]).withColumn(side, F.col("_copy")).select(*pairs.columns)
     return pairs.unionByName(more)
 
 
@@ -115,9 +111,9 @@ def similar_pairs(df: DataFrame, key: str, text: str, threshold: float = 0.8) ->
     """``(id_a, id_b, similarity)``, id_a < id_b: all pairs of records at or above the bound, copies expanded."""
     pairs, copies, _ = similar_representatives(df, key, text, threshold)
     pairs = stored(pairs)
-    between = _with_copies(_with_copies(pairs, "a", copies), "b", copies)
-    groups = copies.unionByName(copies.select("rep", F.col("rep").alias("id")).distinct())
-    within = bucket_pairs(groups, "rep", "id").withColumn("similarity", F.lit(1.0))
+    between = with_copies(with_copies(pairs, "a", copies), "b", copies)
+    groups = copies.unionByName(copies.select("rep", F.col("rep").alias("id"), "_blocks").distinct())
+    within = cell_pairs(groups, "rep", "id").select(F.col("p").alias("a"), F.col("q").alias("b"), F.lit(1.0).alias("similarity"))
     both = between.unionByName(within)
     return both.select(F.least("a", "b").alias("id_a"), F.greatest("a", "b").alias("id_b"), "similarity")
 
@@ -152,7 +148,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = ways.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v")
-        links = stored(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+        last, links = links, stored(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+        discard(last)
         now = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(now) == before:
             break

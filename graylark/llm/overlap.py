@@ -24,16 +24,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graylark.llm import prefixes as P
 from graylark.llm.batches import spread
-from graylark.llm.prefixes import PARITY, may_reach, prefixes
+from graylark.llm.neardup import with_copies
+from graylark.llm.prefixes import PARITY, divided, may_reach, prefixes
 from graylark.llm.stored import count_table, distinct_texts, frequent_table, is_frequent, stored, words
 
 WINDOW = 3
 #: Word pairs in more than this share of all texts are kept last.
 FREQUENT = 0.005
-#: Records of the first table in one block of a bucket.
-BLOCK = 2048
-SALTS = 16
 
 
 def pair_hashes(text: str) -> np.ndarray:
@@ -60,29 +59,36 @@ def winnow(hashes: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def collapse(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows with the smallest id of each text, and ``(rep, id)`` of the others."""
+    """Rows with the smallest id of each text, and ``(rep, id, _blocks)`` of the others."""
     keyed = docs.select("id", F.unhex(F.md5("text")).alias("digest"))
-    reps = keyed.groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
-    copies = stored(keyed.join(reps, "digest").where("id <> rep").select("rep", "id"))
+    reps = keyed.groupBy("digest").agg(F.min("id").alias("rep"), F.ceil(F.count("*") / P.BLOCK).cast("int").alias("_blocks"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    copies = stored(keyed.join(reps, "digest").where("id <> rep").select("rep", "id", "_blocks"))
     return docs.join(copies.select("id"), "id", "left_anti"), copies
 
 
 def candidates_of(t: DataFrame, e: DataFrame, threshold: float) -> DataFrame:
     """``(e, t)`` of the records of two tables of prefixes that share a prefix word and whose sizes and bitmaps allow the bound.
 
-    A hot bucket of the first table is divided into blocks, and the other side's rows go to each of them.
+    Words that the sketch has in few texts are joined as they are.  The others are counted on both sides; large buckets
+    are divided into a grid of blocks, so that no task gets more than a block of either side.
     """
-    member = ("id", "n", *PARITY)
+    member = F.struct("id", "n", *PARITY)
 
-    def rows(df: DataFrame) -> DataFrame:
-        return df.select(F.explode("keys").alias("key"), F.struct(*member).alias("m"))
+    def rows(df: DataFrame, keys: str) -> DataFrame:
+        return df.select(F.explode(keys).alias("key"), member.alias("m"))
 
-    hot = rows(t).groupBy("key").agg(F.count("*").alias("_n")).where(F.col("_n") > BLOCK).select("key", F.ceil(F.col("_n") / BLOCK).cast("int").alias("_blocks"))
-    hot = stored(hot)  # mostly none: Spark broadcasts it
-    blocks = F.coalesce("_blocks", F.lit(1))
-    left = rows(t).join(hot, "key", "left").select("key", F.pmod(F.xxhash64("m.id"), blocks).cast("int").alias("_k"), F.col("m").alias("q"))
-    right = rows(e).join(hot, "key", "left").select("key", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("_k"), F.col("m").alias("p"))
-    pairs = right.join(left, ["key", "_k"]).where(may_reach("p", "q", threshold))
+    left, right = rows(t, "hot"), rows(e, "hot")
+    grid = divided(left).withColumnRenamed("_blocks", "_x").join(divided(right).withColumnRenamed("_blocks", "_y"), "key", "full")
+    grid = stored(grid.select("key", F.coalesce("_x", F.lit(1)).alias("_x"), F.coalesce("_y", F.lit(1)).alias("_y")))
+
+    def placed(df: DataFrame, own: str, other: str) -> DataFrame:
+        """Each row in its own block, against every block of the other side."""
+        some = df.join(grid, "key", "left").withColumns({c: F.coalesce(c, F.lit(1)) for c in (own, other)})
+        return some.select("key", "m", F.pmod(F.xxhash64("m.id"), F.col(own)).cast("int").alias(f"{own}k"), F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(f"{other}k"))
+
+    few = rows(e, "keys").withColumnRenamed("m", "p").join(rows(t, "keys").withColumnRenamed("m", "q"), "key")
+    many = placed(right, "_y", "_x").withColumnRenamed("m", "p").join(placed(left, "_x", "_y").withColumnRenamed("m", "q"), ["key", "_xk", "_yk"])
+    pairs = few.select("p", "q").unionByName(many.select("p", "q")).where(may_reach("p", "q", threshold))
     return pairs.select(F.col("p.id").alias("e"), F.col("q.id").alias("t")).distinct()
 
 
@@ -167,14 +173,7 @@ def overlaps(train: DataFrame, evaluation: DataFrame, key: str, text: str, thres
 
     texts = candidates.join(e.select(F.col("id").alias("e"), F.col("text").alias("x")), "e").join(t.select(F.col("id").alias("t"), F.col("text").alias("y")), "t").select("e", "t", "x", "y")
     pairs = stored(texts.mapInArrow(verify, "e bigint, t bigint, similarity double, eval_covered double, train_covered double, n_seeds bigint"))
-    return _with_copies(_with_copies(pairs, "e", e_copies), "t", t_copies).withColumnsRenamed({"e": "eval_id", "t": "train_id"})
-
-
-def _with_copies(pairs: DataFrame, side: str, copies: DataFrame) -> DataFrame:
-    salted = copies.select(F.col("rep").alias(side), F.col("id").alias("_copy"), F.pmod(F.xxhash64("id"), F.lit(SALTS)).alias("_salt"))
-    wide = pairs.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
-    more = wide.join(salted, [side, "_salt"]).withColumn(side, F.col("_copy")).select(*pairs.columns)
-    return pairs.unionByName(more)
+    return with_copies(with_copies(pairs, "e", e_copies), "t", t_copies).withColumnsRenamed({"e": "eval_id", "t": "train_id"})
 
 
 def overlap_report(train: DataFrame, splits: dict[str, DataFrame], key: str, text: str, source: str, threshold: float = 0.8) -> DataFrame:

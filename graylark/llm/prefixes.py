@@ -17,20 +17,22 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graylark.llm.stored import counts_of, word_hashes
+from graylark.llm.stored import counts_of, stored, word_hashes
 
 #: Longs of the parity bitmap, and its bits.
 LONGS = 4
+#: Records in one block of a bucket.  Words that may stand in more records are kept apart: their buckets are divided.
+BLOCK = 2048
 BITS = 64 * LONGS
 PARITY = tuple(f"s{i}" for i in range(LONGS))
-PREFIX_SCHEMA = "id bigint, set_a bigint, set_b bigint, n int, keys array<int>, " + ", ".join(f"{c} bigint" for c in PARITY)
+PREFIX_SCHEMA = "id bigint, set_a bigint, set_b bigint, n int, keys array<int>, hot array<int>, " + ", ".join(f"{c} bigint" for c in PARITY)
 
 
 def prefix_length(n: int, threshold: float) -> int:
     return n - int(np.ceil(threshold * n - 1e-9)) + 1
 
 
-def _rows(ids: list, texts: list, counts: np.ndarray, threshold: float) -> pa.RecordBatch:
+def _rows(ids: list, texts: list, counts: np.ndarray, threshold: float, block: int) -> pa.RecordBatch:
     sets = [word_hashes(t) for t in texts]
     lengths = np.array([len(s) for s in sets])
     starts = np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64)
@@ -44,10 +46,11 @@ def _rows(ids: list, texts: list, counts: np.ndarray, threshold: float) -> pa.Re
     wanted = np.array([prefix_length(n, threshold) for n in lengths.tolist()])
     # counts are never too small: a word counted once joins nothing; half of each hash does, as a chance hit adds only a candidate
     kept = (np.arange(len(flat)) - starts[owner] < wanted[owner]) & (held_by[order] > 1)
-    keys, ends = flat[order][kept], np.cumsum(np.bincount(owner[kept], minlength=len(sets)))
     bit = (flat >> np.uint64(50)) % np.uint64(BITS)
     columns = {"id": pa.array(ids, pa.int64()), "set_a": pa.array(one.view(np.int64)), "set_b": pa.array(two.view(np.int64)), "n": pa.array(lengths, pa.int32())}
-    columns["keys"] = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array((keys >> np.uint64(32)).astype(np.uint32).view(np.int32)))
+    for name, some in (("keys", kept & (held_by[order] <= block)), ("hot", kept & (held_by[order] > block))):
+        keys, ends = flat[order][some], np.cumsum(np.bincount(owner[some], minlength=len(sets)))
+        columns[name] = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array((keys >> np.uint64(32)).astype(np.uint32).view(np.int32)))
     for i, c in enumerate(PARITY):
         flips = np.where(bit // np.uint64(64) == i, np.uint64(1) << bit % np.uint64(64), np.uint64(0))
         columns[c] = pa.array(np.bitwise_xor.reduceat(flips, starts).view(np.int64))
@@ -55,13 +58,15 @@ def _rows(ids: list, texts: list, counts: np.ndarray, threshold: float) -> pa.Re
 
 
 def prefixes(docs: DataFrame, counts: np.ndarray, threshold: float) -> DataFrame:
-    """Prefix words, size, parity bitmap and word-set hash per record of ``(id, text)`` with non-blank texts."""
+    """Prefix words (those that the sketch has in at most ``BLOCK`` texts, and others), size, parity bitmap and word-set hash per record of ``(id, text)`` with non-blank texts."""
+
+    block = BLOCK
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for i in range(0, len(ids), 2048):
-                yield _rows(ids[i : i + 2048], texts[i : i + 2048], counts, threshold)
+                yield _rows(ids[i : i + 2048], texts[i : i + 2048], counts, threshold, block)
 
     return docs.mapInArrow(run, PREFIX_SCHEMA)
 
@@ -73,3 +78,9 @@ def may_reach(a: str, b: str, threshold: float) -> Column:
     for c in PARITY:
         differing = differing + F.bit_count(F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}")))
     return (F.least(m, n) >= threshold * F.greatest(m, n) - 1e-9) & (differing * (1 + threshold) <= (m + n) * (1 - threshold) + 1e-6)
+
+
+def divided(rows: DataFrame) -> DataFrame:
+    """``(key, _blocks)`` of the buckets of ``rows (key, ...)`` with more than ``BLOCK`` rows: counts combine before they are shuffled."""
+    large = rows.groupBy("key").agg(F.count("*").alias("_n")).where(F.col("_n") > BLOCK)
+    return stored(large.select("key", F.ceil(F.col("_n") / BLOCK).cast("int").alias("_blocks")))

@@ -16,24 +16,53 @@ from pyspark.sql import functions as F
 #: Cells and rows of the frequency sketch: its size doesn't depend on the data.
 CELL_BITS, ROWS = 15, 3
 CELLS = 1 << CELL_BITS
-#: Partial sketches that reach the driver at most (each ``CELLS * ROWS * 8`` bytes).
-PARTS = 8
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where it is unset (tests, local runs) one of our own is set."""
+    """The folder in spark.checkpoint.dir; on a local master, where it is unset (tests), one of our own is set; on a cluster that is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="graylark-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
+#: Paths of the tables written so far, for :func:`release`.
+_written: list[str] = []
+
+
 def stored(df: DataFrame) -> DataFrame:
-    """``df`` written once and read again: its lineage is cut and every executor can read it."""
+    """``df`` written once and read again: its lineage is cut and every executor can read it.
+
+    The table stays until :func:`discard` or :func:`release`: what reads it may run at any time.
+    """
     path = f"{shared_folder(df.sparkSession)}/graylark-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    _written.append(path)
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table that :func:`stored` wrote and nothing reads any more."""
+    path = getattr(df, "_stored_at", None)
+    if path in _written:
+        _written.remove(path)
+        _delete(df.sparkSession, path)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all tables written so far: to be called when the results that need them have been written."""
+    while _written:
+        _delete(spark, _written.pop())
 
 
 BLANKS = re.compile("[ \t\r\n]+")
@@ -61,11 +90,12 @@ def cells_of(hashes: np.ndarray) -> list[np.ndarray]:
 def count_table(df: DataFrame, column: str, hashes=word_hashes) -> tuple[np.ndarray, int]:
     """A sketch of how many texts hold each hash, and the number of texts; all texts are counted.
 
-    Each task counts into a sketch of fixed size, a few reducers add these, and only their sums reach the driver.
+    Each task counts into a sketch of fixed size and sends its cells as rows, which are summed by cell: no task ever holds
+    more than one sketch, however many there are.  Only the sums reach the driver.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, n = np.zeros((ROWS, CELLS), dtype=np.int64), 0
+        total, n = np.zeros(ROWS * CELLS, dtype=np.int64), 0
         for batch in batches:
             chunk = []
             for text in batch.column(0).to_pylist():
@@ -74,18 +104,15 @@ def count_table(df: DataFrame, column: str, hashes=word_hashes) -> tuple[np.ndar
                     chunk.append(hashes(text))
             if chunk:
                 for r, c in enumerate(cells_of(np.concatenate(chunk))):
-                    total[r] += np.bincount(c, minlength=CELLS)
-        yield pa.RecordBatch.from_pydict({"part": pa.array([int(np.random.default_rng(n).integers(PARTS))], pa.int32()), "n": pa.array([n], pa.int64()), "blob": pa.array([total.tobytes()], pa.binary())})
-
-    def add(table: pa.Table) -> pa.Table:
-        blobs = [np.frombuffer(x, dtype=np.int64) for x in table.column("blob").to_pylist()]
-        return pa.table({"n": pa.array([sum(table.column("n").to_pylist())], pa.int64()), "blob": pa.array([np.sum(blobs, axis=0).tobytes()], pa.binary())})
-
-    parts = df.select(column).mapInArrow(count, "part int, n bigint, blob binary").groupBy("part").applyInArrow(add, "n bigint, blob binary").collect()
-    if not parts:
-        return np.zeros((ROWS, CELLS), dtype=np.int64), 0
-    total = np.sum([np.frombuffer(p.blob, dtype=np.int64) for p in parts], axis=0).reshape(ROWS, CELLS)
-    return total, sum(p.n for p in parts)
+                    total[r * CELLS : (r + 1) * CELLS] += np.bincount(c, minlength=CELLS)
+        cells = np.nonzero(total)[0]
+        yield pa.RecordBatch.from_pydict({"cell": pa.array(np.append(cells, -1), pa.int32()), "n": pa.array(np.append(total[cells], n), pa.int64())})
+
+    sums = df.select(column).mapInArrow(count, "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    cells, n = sums.column("cell").to_numpy(), sums.column("n").to_numpy()
+    total = np.zeros(ROWS * CELLS, dtype=np.int64)
+    total[cells[cells >= 0]] = n[cells >= 0]
+    return total.reshape(ROWS, CELLS), int(n[cells < 0].sum())
 
 
 def counts_of(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:

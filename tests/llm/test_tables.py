@@ -7,7 +7,7 @@ from itertools import combinations
 import pytest
 from pyspark.sql import functions as F
 
-from graylark.llm import confusable, leakage, mixing, mojibake, neardup, overlap, pii, replies, sentences
+from graylark.llm import confusable, leakage, mixing, mojibake, neardup, overlap, pii, prefixes, replies, sentences, stored
 from graylark.llm.stored import words
 
 
@@ -41,6 +41,43 @@ def test_pairs_against_brute_force(spark):
     assert 30 * 29 // 2 <= len(rows)
 
 
+def test_small_blocks_change_nothing(spark, monkeypatch):
+    """A third of all rows in one group of edited copies and a third equal: with tiny blocks every bucket and every group of copies is divided."""
+    rng = random.Random(21)
+    base = [f"v{i}" for i in range(40)]
+    texts = corpus(100, 22, hot=60) + [" ".join(w if rng.random() > 0.06 else f"z{rng.randrange(999)}" for w in base) for _ in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id bigint, text string")
+    good = [(i, t) for i, t in enumerate(texts) if t and t.strip()]
+    want = {(i, j) for (i, a), (j, b) in combinations(good, 2) if similarity(a, b) >= 0.7}
+    monkeypatch.setattr(prefixes, "BLOCK", 8)
+    rows = [(r.id_a, r.id_b) for r in neardup.similar_pairs(df, "id", "text", 0.7).collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == want
+    even, odd = df.where("id % 2 = 0"), df.where("id % 2 = 1")
+    rows = [(r.eval_id, r.train_id) for r in overlap.overlaps(even, odd, "id", "text", 0.7).collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == {(i, j) if i % 2 else (j, i) for i, j in want if (i + j) % 2}
+
+
+def test_stored_tables_can_be_released(spark):
+    import glob
+
+    table = stored.stored(spark.range(3))
+    place = table._stored_at.removeprefix("file://")
+    assert glob.glob(place + "/*.parquet") and table.count() == 3
+    stored.discard(table)
+    assert not glob.glob(place)
+    other = stored.stored(spark.range(3))
+    stored.release(spark)
+    assert not glob.glob(other._stored_at.removeprefix("file://"))
+
+
+def test_sketch_counts_all_texts(spark):
+    texts = ["a b c", "a b", "a", None, " ", "a a a"] * 50
+    counts, n = stored.count_table(spark.createDataFrame([(t,) for t in texts], "text string").repartition(7), "text")
+    held = stored.counts_of(counts, stored.word_hashes("a"))
+    assert n == 200 and held[0] == 200 and stored.counts_of(counts, stored.word_hashes("b"))[0] == 100
+    assert stored.count_table(spark.createDataFrame([], "text string"), "text")[1] == 0
+
+
 def test_groups_are_the_components(spark):
     texts = corpus(150, 2, hot=5)
     df = spark.createDataFrame(list(enumerate(texts)), "id bigint, text string")
