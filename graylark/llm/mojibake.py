@@ -115,6 +115,13 @@ def _languages() -> dict[str, _Language]:
     return {lang: _Language(lang) for lang in SENTENCES}
 
 
+def _utf8_as(table: dict[str, int]) -> re.Pattern:
+    """UTF-8 sequences as an encoding shows them."""
+    of = {lo: "[" + "".join(re.escape(c) for c, b in table.items() if lo <= b < hi) + "]" for lo, hi in ((0x80, 0xC0), (0xC2, 0xE0), (0xE0, 0xF0), (0xF0, 0xF5))}
+    return re.compile(f"{of[0xC2]}{of[0x80]}|{of[0xE0]}{of[0x80]}{{2}}|{of[0xF0]}{of[0x80]}{{3}}")
+
+
+SHOWN_UTF8 = {name: _utf8_as(ENCODERS[name]) for name in WRONG_FOR_UTF8}
 LETTERS_OF = {lang: frozenset(x) for lang, x in ALPHABETS.items()}
 
 
@@ -235,6 +242,8 @@ def repair_word(word: str) -> str:
             grown = []
             for text, cost in frontier:
                 for encoding in WRONG_FOR_UTF8:
+                    if not SHOWN_UTF8[encoding].search(text):
+                        continue
                     new, left = _undo_utf8(text, encoding)
                     if new == text or new in tried or (left and text in middles):
                         continue  # behind a single-byte step the whole word must be UTF-8

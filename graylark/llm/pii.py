@@ -37,6 +37,8 @@ LOST = "�"
 
 #: Addresses are found from their "at" sign, plain or spelled out, to both sides.
 AT = re.compile(rf"@|[ \t]?[(\[{{][ \t]?(?:at|arroba|ät)[ \t]?[)\]}}][ \t]?|[ \t](?:at|AT)[ \t](?=[\w-]+[ \t](?:dot|DOT)[ \t])", re.I)
+PLAIN_AT = re.compile("@")
+SPELLED = ("(at", "( at", "[at", "[ at", "{at", "{ at", "arroba", "(ät", "[ät", " dot ")
 LOCAL = re.compile(rf"[\w+-]+(?:(?:[.+-]|[ \t]?[(\[{{][ \t]?dot[ \t]?[)\]}}][ \t]?)[\w+-]+)*$", re.I)
 DOMAIN = re.compile(rf"[\w-]+(?:(?:\.|{S}?[(\[{{][ \t]?(?:dot|punto|\.)[ \t]?[)\]}}]{S}?|[ \t](?:dot|DOT)[ \t])[\w-]+)+", re.I)
 PHONE = re.compile(
@@ -57,13 +59,23 @@ ID_CONTEXT = re.compile(
 ID_AGAINST = re.compile(r"\b(?:order|parcel|tracking|invoice|lot|shipment|ticket|backup|rechnung|factur|fatura|commande|pedido|заказ|zamówienie|sipariş|version|profile|account|konto|serial|batch)\W{0,3}(?:no\.?|number|nr\.?)?\W{0,3}$", re.I)
 STREET_EN = "Street|Avenue|Road|Lane|Drive|Boulevard|Blvd|Crescent|Close|Court|Terrace|Square|Place|Way|Parkway|Highway|St|Ave|Rd|Ln|Dr|Ct|Cres|Pl|Pkwy|Sq"
 CAP = "[^\\W\\d_a-zß-öø-ÿąćęłńśźżğışа-яё][\\w’'-]*"
-STREET = re.compile(
-    rf"(?<![\w./#-])(?:\d{{1,5}}[a-zA-Z]?,?{S}(?:[NSEW]\.?{S})?(?:{CAP}{S}){{1,3}}?(?i:(?:{STREET_EN})\b)\.?(?:,?{S}(?i:(?:apt|unit|suite|flat|floor)\.?|\#){S}?\d+\w?)?(?:,{S}{CAP}(?:-{CAP})?(?:{S}[A-Z]{{1,2}}\d{{1,2}}{S}\d[A-Z]{{2}}|{S}\d{{5}})?)?"
-    rf"|\d{{1,4}}(?:{S}?(?:bis|ter))?,?{S}(?i:rue|bd|boulevard|avenue|av\.|place|allée|quai|chemin|impasse|route|cours){S}(?:(?i:de la|des|du|de|de l’|d’|l’|la|le|les){S}?)?{CAP}(?:,?{S}\d{{5}}{S}{CAP}(?:-{CAP})?)?"
-    rf"|{CAP[:-1]}{{0,40}}?(?i:straße|strasse|stra{LOST}{{1,4}}e|str\.|weg|gasse|allee|platz|ufer|damm|ring){S}\d{{1,4}}[a-z]?\b(?:,{S}\d{{5}}{S}{CAP}(?:-{CAP})?)?"
-    rf"|(?i:plaza|calle|avda\.?|avenida|paseo|camino|ronda|rua|travessa|praça|alameda|largo|ul\.|al\.|aleja|plac|ул\.|улица|пр\.|проспект|пер\.|via|viale|piazza|c/){S}?(?:(?:de|del|de la|da|do|das|dos|las|los){S})?(?:{CAP}{S}?){{1,3}},?{S}?(?:n\.?º{S}?|nº{S}?|д\.{S}?)?\d{{1,4}}\b(?:,{S}\d+{S}?[ºª°]?{S}?[A-Z]?\b)?"
-    rf"|{CAP}{S}(?i:sokak|sokağı|sok\.|caddesi|cad\.|mahallesi){S}(?:no:?{S}?)?\d{{1,4}}"
-    rf"|(?i:p\.?{S}?o\.?{S}?box|post office box|postfach|apartado(?:{S}de{S}correos)?|boîte postale|caixa postal|skrytka pocztowa|posta kutusu){S}\d{{1,6}}(?:,{S}{CAP}(?:-{CAP})?)?)"
+#: Patterns of street addresses, each with what a text must hold (in small letters) for the pattern to be worth a search.
+LIMIT = r"(?<![\w./#-])"
+FRENCH_STREETS = ("rue", "bd", "boulevard", "avenue", "av.", "place", "allée", "quai", "chemin", "impasse", "route", "cours")
+OTHER_STREETS = (
+    "plaza", "calle", "avda", "avenida", "paseo", "camino", "ronda", "rua", "travessa", "praça", "alameda", "largo", "ul.", "al.", "aleja", "plac", "ул.", "улица", "пр.", "проспект", "пер.", "via", "viale", "piazza", "c/",
+)
+TURKISH_STREETS = ("sokak", "sokağı", "sok.", "caddesi", "cad.", "mahallesi")
+BOXES = ("box", "postfach", "apartado", "boîte postale", "caixa postal", "skrytka pocztowa", "posta kutusu")
+GERMAN_STREET = re.compile(r"(?:straße|strasse|stra\ufffd{1,4}e|str\.|weg|gasse|allee|platz|ufer|damm|ring)\s[\s>|]*\d")
+ENGLISH_STREET = re.compile(rf"(?<![^\W_])(?:{STREET_EN.lower()})(?![^\W_])")
+STREETS = (
+    (lambda low: ENGLISH_STREET.search(low), re.compile(rf"(?=\d){LIMIT}\d{{1,5}}[a-zA-Z]?,?{S}(?:[NSEW]\.?{S})?(?:{CAP}{S}){{1,3}}?(?i:(?:{STREET_EN})\b)\.?(?:,?{S}(?i:(?:apt|unit|suite|flat|floor)\.?|\#){S}?\d+\w?)?(?:,{S}{CAP}(?:-{CAP})?(?:{S}[A-Z]{{1,2}}\d{{1,2}}{S}\d[A-Z]{{2}}|{S}\d{{5}})?)?")),
+    (lambda low: any(x in low for x in FRENCH_STREETS), re.compile(rf"(?=\d){LIMIT}\d{{1,4}}(?:{S}?(?:bis|ter))?,?{S}(?i:{'|'.join(map(re.escape, FRENCH_STREETS))}){S}(?:(?i:de la|des|du|de|de l’|d’|l’|la|le|les){S}?)?{CAP}(?:,?{S}\d{{5}}{S}{CAP}(?:-{CAP})?)?")),
+    (lambda low: GERMAN_STREET.search(low), re.compile(rf"{LIMIT}{CAP[:-1]}{{0,40}}?(?i:straße|strasse|stra{LOST}{{1,4}}e|str\.|weg|gasse|allee|platz|ufer|damm|ring){S}\d{{1,4}}[a-z]?\b(?:,{S}\d{{5}}{S}{CAP}(?:-{CAP})?)?")),
+    (lambda low: any(x in low for x in OTHER_STREETS), re.compile(rf"{LIMIT}(?i:{'|'.join(map(re.escape, sorted(OTHER_STREETS, key=len, reverse=True)))}|avda\.){S}?(?:(?:de|del|de la|da|do|das|dos|las|los){S})?(?:{CAP}{S}?){{1,3}},?{S}?(?:n\.?º{S}?|nº{S}?|д\.{S}?)?\d{{1,4}}\b(?:,{S}\d+{S}?[ºª°]?{S}?[A-Z]?\b)?")),
+    (lambda low: any(x in low for x in TURKISH_STREETS), re.compile(rf"{LIMIT}{CAP}{S}(?i:{'|'.join(map(re.escape, TURKISH_STREETS))}){S}(?:no:?{S}?)?\d{{1,4}}")),
+    (lambda low: any(x in low for x in BOXES), re.compile(rf"{LIMIT}(?i:p\.?{S}?o\.?{S}?box|post office box|postfach|apartado(?:{S}de{S}correos)?|boîte postale|caixa postal|skrytka pocztowa|posta kutusu){S}\d{{1,6}}(?:,{S}{CAP}(?:-{CAP})?)?")),
 )
 WORD = re.compile(f"[^\\W\\d_{LOST}]*[{LOST}]*[^\\W\\d_]+(?:[-’'][^\\W\\d_]+)*{LOST}*")
 #: The name that is a month too, beside a number.
@@ -76,6 +88,8 @@ INITIAL = re.compile(rf"(?<![\w.])[^\W\d_a-zà-öø-ÿа-яёßıšśžźżłń
 GAP = re.compile(S)
 DIGIT = re.compile(r"\d")
 ANGLE = re.compile("<")
+#: What may stand between the words of a name.
+BETWEEN = " \t\r\n>|,"
 
 #: Widespread given names of some languages; they stand for the missing context, and :func:`mentions` takes others.
 GIVEN = frozenset(
@@ -288,8 +302,11 @@ def _people(text: str) -> list[tuple[int, int]]:
             words = sorted({*words, *((a, b, text[a:b]) for a, b in small)})
     initials = {m.start(): m.end() for m in INITIAL.finditer(text)}
     proposed: list[tuple[float, int, int, str, str]] = []  # score, start, end, given, family
+    after = False
     for k, (a, b, w) in enumerate(words):
-        if not lost and w[0].islower() and w not in GIVEN:  # most words
+        before = after
+        after = k + 1 < len(words) and not text[b : words[k + 1][0]].strip(BETWEEN)
+        if not before and not after:  # most words stand alone
             continue
         small = w.lower()
         given = small in GIVEN or lost and _is_given(w)
@@ -382,7 +399,7 @@ def mentions(text: str | None) -> list[tuple[str, int, int]]:
     low = shown.lower()
     digits = DIGIT.search(shown) is not None
     if "@" in shown or "at)" in low or "at]" in low or " dot " in low or "arroba" in low:
-        for m in AT.finditer(shown):
+        for m in (AT if any(x in low for x in SPELLED) else PLAIN_AT).finditer(shown):
             right = DOMAIN.match(shown, m.end())
             start = m.start()
             while start and (shown[start - 1].isalnum() or shown[start - 1] in "_+-.()[]{} "):
@@ -400,8 +417,9 @@ def mentions(text: str | None) -> list[tuple[str, int, int]]:
         for m in CARD.finditer(shown):
             if 13 <= len(_digits(m.group())) <= 19 and luhn(m.group()):
                 add("card", m.start(), m.end())
-        for m in STREET.finditer(shown):
-            add("street_address", m.start(), m.end())
+        streets = [m.span() for worth, pattern in STREETS if worth(low) for m in pattern.finditer(shown)]
+        for a, b in sorted(streets):
+            add("street_address", a, b)
         for m in PHONE.finditer(shown):
             before = shown[max(0, m.start() - 40) : m.start()]
             score = (0.7 if m.group()[0] in "+(0" else 0.6) + 0.2 * bool(PHONE_CONTEXT.search(before)) - 0.3 * bool(ID_AGAINST.search(before))
