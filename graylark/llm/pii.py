@@ -20,6 +20,7 @@ import re
 import unicodedata
 from functools import lru_cache
 
+import ahocorasick
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -59,7 +60,7 @@ ID_CONTEXT = re.compile(
 ID_AGAINST = re.compile(r"\b(?:order|parcel|tracking|invoice|lot|shipment|ticket|backup|rechnung|factur|fatura|commande|pedido|заказ|zamówienie|sipariş|version|profile|account|konto|serial|batch)\W{0,3}(?:no\.?|number|nr\.?)?\W{0,3}$", re.I)
 STREET_EN = "Street|Avenue|Road|Lane|Drive|Boulevard|Blvd|Crescent|Close|Court|Terrace|Square|Place|Way|Parkway|Highway|St|Ave|Rd|Ln|Dr|Ct|Cres|Pl|Pkwy|Sq"
 CAP = "[^\\W\\d_a-zß-öø-ÿąćęłńśźżğışа-яё][\\w’'-]*"
-#: Patterns of street addresses, each with what a text must hold (in small letters) for the pattern to be worth a search.
+#: Patterns of street addresses, each with what a text must hold one of (in small letters) for the pattern to be worth a search.
 LIMIT = r"(?<![\w./#-])"
 FRENCH_STREETS = ("rue", "bd", "boulevard", "avenue", "av.", "place", "allée", "quai", "chemin", "impasse", "route", "cours")
 OTHER_STREETS = (
@@ -67,19 +68,43 @@ OTHER_STREETS = (
 )
 TURKISH_STREETS = ("sokak", "sokağı", "sok.", "caddesi", "cad.", "mahallesi")
 BOXES = ("box", "postfach", "apartado", "boîte postale", "caixa postal", "skrytka pocztowa", "posta kutusu")
+GERMAN_STREETS = ("straße", "strasse", "stra\ufffd", "str.", "weg", "gasse", "allee", "platz", "ufer", "damm", "ring")
+GERMAN_STREET = re.compile(r"(?:straße|strasse|stra\ufffd{1,4}e|str\.|weg|gasse|allee|platz|ufer|damm|ring)\s[\s>|]*\d")
+STREETS = ("rue", "bd", "boulevard", "avenue", "av.", "place", "allée", "quai", "chemin", "impasse", "route", "cours")
+OTHER_STREETS = (
+    "plaza", "calle", "avda", "avenida", "paseo", "camino", "ronda", "rua", "travessa", "praça", "alameda", "largo", "ul.", "al.", "aleja", "plac", "ул.", "улица", "пр.", "проспект", "пер.", "via", "viale", "piazza", "c/",
+)
+TURKISH_STREETS = ("sokak", "sokağı", "sok.", "caddesi", "cad.", "mahallesi")
+BOXES = ("box", "postfach", "apartado", "boîte postale", "caixa postal", "skrytka pocztowa", "posta kutusu")
 GERMAN_STREET = re.compile(r"(?:straße|strasse|stra\ufffd{1,4}e|str\.|weg|gasse|allee|platz|ufer|damm|ring)\s[\s>|]*\d")
 ENGLISH_STREET = re.compile(rf"(?<![^\W_])(?:{STREET_EN.lower()})(?![^\W_])")
 STREETS = (
-    (lambda low: ENGLISH_STREET.search(low), re.compile(rf"(?=\d){LIMIT}\d{{1,5}}[a-zA-Z]?,?{S}(?:[NSEW]\.?{S})?(?:{CAP}{S}){{1,3}}?(?i:(?:{STREET_EN})\b)\.?(?:,?{S}(?i:(?:apt|unit|suite|flat|floor)\.?|\#){S}?\d+\w?)?(?:,{S}{CAP}(?:-{CAP})?(?:{S}[A-Z]{{1,2}}\d{{1,2}}{S}\d[A-Z]{{2}}|{S}\d{{5}})?)?")),
-    (lambda low: any(x in low for x in FRENCH_STREETS), re.compile(rf"(?=\d){LIMIT}\d{{1,4}}(?:{S}?(?:bis|ter))?,?{S}(?i:{'|'.join(map(re.escape, FRENCH_STREETS))}){S}(?:(?i:de la|des|du|de|de l’|d’|l’|la|le|les){S}?)?{CAP}(?:,?{S}\d{{5}}{S}{CAP}(?:-{CAP})?)?")),
-    (lambda low: GERMAN_STREET.search(low), re.compile(rf"{LIMIT}{CAP[:-1]}{{0,40}}?(?i:straße|strasse|stra{LOST}{{1,4}}e|str\.|weg|gasse|allee|platz|ufer|damm|ring){S}\d{{1,4}}[a-z]?\b(?:,{S}\d{{5}}{S}{CAP}(?:-{CAP})?)?")),
-    (lambda low: any(x in low for x in OTHER_STREETS), re.compile(rf"{LIMIT}(?i:{'|'.join(map(re.escape, sorted(OTHER_STREETS, key=len, reverse=True)))}|avda\.){S}?(?:(?:de|del|de la|da|do|das|dos|las|los){S})?(?:{CAP}{S}?){{1,3}},?{S}?(?:n\.?º{S}?|nº{S}?|д\.{S}?)?\d{{1,4}}\b(?:,{S}\d+{S}?[ºª°]?{S}?[A-Z]?\b)?")),
-    (lambda low: any(x in low for x in TURKISH_STREETS), re.compile(rf"{LIMIT}{CAP}{S}(?i:{'|'.join(map(re.escape, TURKISH_STREETS))}){S}(?:no:?{S}?)?\d{{1,4}}")),
-    (lambda low: any(x in low for x in BOXES), re.compile(rf"{LIMIT}(?i:p\.?{S}?o\.?{S}?box|post office box|postfach|apartado(?:{S}de{S}correos)?|boîte postale|caixa postal|skrytka pocztowa|posta kutusu){S}\d{{1,6}}(?:,{S}{CAP}(?:-{CAP})?)?")),
+    ((), re.compile(rf"(?=\d){LIMIT}\d{{1,5}}[a-zA-Z]?,?{S}(?:[NSEW]\.?{S})?(?:{CAP}{S}){{1,3}}?(?i:(?:{STREET_EN})\b)\.?(?:,?{S}(?i:(?:apt|unit|suite|flat|floor)\.?|\#){S}?\d+\w?)?(?:,{S}{CAP}(?:-{CAP})?(?:{S}[A-Z]{{1,2}}\d{{1,2}}{S}\d[A-Z]{{2}}|{S}\d{{5}})?)?")),
+    (FRENCH_STREETS, re.compile(rf"(?=\d){LIMIT}\d{{1,4}}(?:{S}?(?:bis|ter))?,?{S}(?i:{'|'.join(map(re.escape, FRENCH_STREETS))}){S}(?:(?i:de la|des|du|de|de l’|d’|l’|la|le|les){S}?)?{CAP}(?:,?{S}\d{{5}}{S}{CAP}(?:-{CAP})?)?")),
+    (GERMAN_STREETS, re.compile(rf"{LIMIT}{CAP[:-1]}{{0,40}}?(?i:straße|strasse|stra{LOST}{{1,4}}e|str\.|weg|gasse|allee|platz|ufer|damm|ring){S}\d{{1,4}}[a-z]?\b(?:,{S}\d{{5}}{S}{CAP}(?:-{CAP})?)?")),
+    (OTHER_STREETS, re.compile(rf"{LIMIT}(?i:{'|'.join(map(re.escape, sorted(OTHER_STREETS, key=len, reverse=True)))}|avda\.){S}?(?:(?:de|del|de la|da|do|das|dos|las|los){S})?(?:{CAP}{S}?){{1,3}},?{S}?(?:n\.?º{S}?|nº{S}?|д\.{S}?)?\d{{1,4}}\b(?:,{S}\d+{S}?[ºª°]?{S}?[A-Z]?\b)?")),
+    (TURKISH_STREETS, re.compile(rf"{LIMIT}{CAP}{S}(?i:{'|'.join(map(re.escape, TURKISH_STREETS))}){S}(?:no:?{S}?)?\d{{1,4}}")),
+    (BOXES, re.compile(rf"{LIMIT}(?i:p\.?{S}?o\.?{S}?box|post office box|postfach|apartado(?:{S}de{S}correos)?|boîte postale|caixa postal|skrytka pocztowa|posta kutusu){S}\d{{1,6}}(?:,{S}{CAP}(?:-{CAP})?)?")),
 )
 WORD = re.compile(f"[^\\W\\d_{LOST}]*[{LOST}]*[^\\W\\d_]+(?:[-’'][^\\W\\d_]+)*{LOST}*")
 #: The name that is a month too, beside a number.
 MONTH_DAY = re.compile(r"\d\s+jan\b|\bjan\s+\d", re.I)
+
+
+@lru_cache(maxsize=1)
+def _literals() -> ahocorasick.Automaton:
+    """All literals that patterns wait for, with the bits of those patterns: one pass over a text finds them all."""
+    bits: dict[str, int] = {}
+    for k, group in enumerate((SPELLED, *(words for words, _ in STREETS))):
+        for word in group:
+            bits[word] = bits.get(word, 0) | 1 << k
+    automaton = ahocorasick.Automaton()
+    for word, bit in bits.items():
+        automaton.add_word(word, bit)
+    automaton.make_automaton()
+    return automaton
+
+
 #: A capitalised word, and names in small letters where they may count: at the start of a line, behind a label, beside an address.
 CAPITAL_WORD = re.compile(CAP.removesuffix("[\\w’'-]*") + "(?<![^\\W\\d_].)(?<![^\\W\\d_][-’'].)[^\\W\\d_]*(?:[-’'][^\\W\\d_]+)*")
 SMALL_PAIR = re.compile(r"(?m)(?:^[ \t>|*-]*|[:,][ \t*]*)([^\W\d_]{2,})[ \t]+([^\W\d_]{6,})")
@@ -398,8 +423,11 @@ def mentions(text: str | None) -> list[tuple[str, int, int]]:
 
     low = shown.lower()
     digits = DIGIT.search(shown) is not None
-    if "@" in shown or "at)" in low or "at]" in low or " dot " in low or "arroba" in low:
-        for m in (AT if any(x in low for x in SPELLED) else PLAIN_AT).finditer(shown):
+    held = 0
+    for _, bit in _literals().iter(low):
+        held |= bit
+    if "@" in shown or held & 1:
+        for m in (AT if held & 1 else PLAIN_AT).finditer(shown):
             right = DOMAIN.match(shown, m.end())
             start = m.start()
             while start and (shown[start - 1].isalnum() or shown[start - 1] in "_+-.()[]{} "):
@@ -417,7 +445,7 @@ def mentions(text: str | None) -> list[tuple[str, int, int]]:
         for m in CARD.finditer(shown):
             if 13 <= len(_digits(m.group())) <= 19 and luhn(m.group()):
                 add("card", m.start(), m.end())
-        streets = [m.span() for worth, pattern in STREETS if worth(low) for m in pattern.finditer(shown)]
+        streets = [m.span() for k, (words, pattern) in enumerate(STREETS, 1) if not words or held >> k & 1 and (words is not GERMAN_STREETS or GERMAN_STREET.search(low)) for m in pattern.finditer(shown)]
         for a, b in sorted(streets):
             add("street_address", a, b)
         for m in PHONE.finditer(shown):
