@@ -59,7 +59,7 @@ def main(argv: list[str] | None = None) -> int:
 def _messages(spark, path):
     from graylark.sources.readers import from_text, read_messages
 
-    return from_text(spark, sys.stdin.read()).withColumn("file", F.lit("-")) if path == "-" else read_messages(spark, path)
+    return from_text(spark, sys.stdin.read()).select(F.lit("").alias("path"), F.lit("-").alias("file"), "raw_eml") if path == "-" else read_messages(spark, path)
 
 
 def _scorer(args):
@@ -75,6 +75,8 @@ def _scorer(args):
 def _print(df, indent=None) -> int:
     from graylark.sources.writers import json_document
 
+    if "path" in df.columns:  # results in the order of the files; the messages themselves are never sorted
+        df = df.orderBy("path").drop("path")
     for row in df.select(json_document(*df.columns).alias("j")).toLocalIterator():
         print(json.dumps(json.loads(row.j), indent=indent, ensure_ascii=False))
     return 0
@@ -83,7 +85,7 @@ def _print(df, indent=None) -> int:
 def run_rules(spark, args) -> int:
     from graylark.plans.funnel import LAYER1, assessed
 
-    return _print(assessed(_messages(spark, args.path)).select("file", *LAYER1), args.indent)
+    return _print(assessed(_messages(spark, args.path)).select("path", "file", *LAYER1), args.indent)
 
 
 def run_score(spark, args) -> int:
@@ -97,14 +99,14 @@ def run_predict(spark, args) -> int:
     from graylark.plans.funnel import assessed
 
     rows = predicted(_scorer(args)(assessed(_messages(spark, args.path)), "full_text"), "full_text")
-    return _print(rows.select("file", "predicted_label", "confidence", "probabilities", "text_preview", "error"), args.indent)
+    return _print(rows.select("path", "file", "predicted_label", "confidence", "probabilities", "text_preview", "error"), args.indent)
 
 
 def run_attribute(spark, args) -> int:
     from graylark.operators.attribution import http_provider, probe
     from graylark.plans.funnel import analyze
 
-    model = args.model or "llama3"
+    model = args.model or "llama3.2"
     ok, _ = probe(args.url, model)
     return _print(analyze(_messages(spark, args.path), run_layer3=True, provider=http_provider(args.url, model) if ok else None, model=model, ensemble=args.ensemble), args.indent)
 
@@ -112,6 +114,7 @@ def run_attribute(spark, args) -> int:
 def run_prep(spark, args) -> int:
     from graylark.operators import corpus
     from graylark.sources.readers import read_csv_any
+    from graylark.sources.writers import CSV
 
     rows = read_csv_any(spark, args.csv).withColumn("_seq", F.monotonically_increasing_id())
     if args.inspect:
@@ -125,7 +128,7 @@ def run_prep(spark, args) -> int:
         rows = rows.withColumn("label", F.col(args.label_column).cast("int"))
     rows = corpus.keep_first(corpus.drop_empty(rows.select("_seq", "text", "label")), "text", "_seq").select("text", "label")
     if args.out:
-        rows.write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"').csv(args.out)
+        rows.write.mode("overwrite").options(**CSV).csv(args.out)
     return _print(corpus.label_distribution(rows))
 
 
@@ -146,9 +149,10 @@ def run_build(spark, args) -> int:
 def run_train(spark, args) -> int:
     from graylark.functions.constants import BINARY_LABELS, LABELS
     from graylark.operators.scorer import select_model
+    from graylark.sources.readers import read_splits
     from graylark.sources.writers import save_model
 
-    data = spark.read.csv(args.data, header=True, multiLine=True, quote='"', escape='"')
+    data = read_splits(spark, args.data)
     model, reg = select_model(data.where("split = 'train'"), data.where("split = 'val'"), binary=args.binary)
     save_model(model, args.out, BINARY_LABELS if args.binary else LABELS)
     print(json.dumps({"regularisation": reg}))
@@ -156,23 +160,20 @@ def run_train(spark, args) -> int:
 
 
 def run_evaluate(spark, args) -> int:
-    from pathlib import Path
-
     from graylark.functions.constants import LABELS
     from graylark.operators.metrics import metrics_document
     from graylark.operators.scorer import predicted
     from graylark.sources.readers import evaluation_rows, read_csv_any
-    from graylark.sources.writers import markdown_report, write_sidecar
+    from graylark.sources.writers import markdown_report, write_bytes, write_sidecar
 
     rows = evaluation_rows(read_csv_any(spark, args.csv))
     index = F.create_map(*[x for k, v in LABELS.items() for x in (F.lit(v), F.lit(k))])
     extra = ["rules_pred"] if "rules_pred" in rows.columns else []
-    pairs = predicted(_scorer(args)(rows, "text"), "text").select(F.col("label").alias("y"), F.element_at(index, "predicted_label").alias("p"), *extra)
+    pairs = predicted(_scorer(args)(rows, "text"), "text").select(F.col("label").alias("y"), F.element_at(index, F.col("predicted_label")).alias("p"), *extra)
     metrics = metrics_document(pairs.where("p is not null"))
     if args.out:
-        Path(args.out).mkdir(parents=True, exist_ok=True)
         write_sidecar(f"{args.out}/metrics.json", metrics)
-        (Path(args.out) / "report.md").write_text(markdown_report(metrics))
+        write_bytes(f"{args.out}/report.md", markdown_report(metrics).encode())
     print(json.dumps(metrics, indent=2))
     return 0
 

@@ -36,8 +36,9 @@ ESCALATE_FROM, REVIEW_FROM = 40, 15
 PHISHING_FROM, SUSPICIOUS_FROM = 60, 30
 
 # fixed values: attribution vocabulary
-OBJECTIVES = ("credential_harvesting", "malware_delivery", "business_email_compromise", "financial_fraud", "reconnaissance", "other")
-SOPHISTICATION = ("low", "medium", "high")
+OBJECTIVES = ("Credential Harvesting", "Malware Delivery", "Wire Transfer Fraud", "Data Exfiltration", "Reconnaissance", "Other")
+TRIGGERS = ("Authority", "Urgency", "Fear", "Curiosity", "Greed", "Trust", "Scarcity", "Social Proof")
+SOPHISTICATION = ("Low", "Medium", "High")
 
 #: What Python's str.strip removes, as a regex class that Java and RE2 read alike.
 BLANKS = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"

@@ -6,11 +6,13 @@ import json
 import urllib.error
 import urllib.request
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graylark.functions.constants import OBJECTIVES, SOPHISTICATION, TRIGGERS
 from graylark.operators.fusion import attribution_gate
 
 DISCLAIMER = "Machine-made hypothesis for analysts; verify before acting on it."
@@ -19,18 +21,30 @@ ANSWER_SCHEMA = (
 )
 RAW_KEPT = 500
 TIMEOUT_S, PROBE_S = 120, 2
+#: Model calls that one task has open at a time.
+CALLS = 4
 
 #: Takes a prompt, returns the model's text; raises to report an error.
 Provider = Callable[[str], str]
 
 
+#: What each key of the answer may hold, as the prompt states it.
+KEYS = {
+    "primary_objective": "one of " + ", ".join(OBJECTIVES), "psychological_triggers": "a list of some of " + ", ".join(TRIGGERS), "target_persona": "the role this mail is aimed at, in a few words", "sophistication": "one of " + ", ".join(SOPHISTICATION),
+    "key_indicators": "a list of the cues in wording and structure that you relied on", "illustrative_generation_prompt": "an example, marked as a guess, of an instruction that could have produced such a text", "analyst_summary": "one or two sentences for an analyst",
+}
+INSTRUCTION = (
+    "The mail below is confirmed phishing. Describe how it works for the analysts who defend against it. Use only what the mail holds; invent no names, addresses or links.\n"
+    "Answer with one JSON object and nothing else. Its keys:\n" + "\n".join(f"- {k}: {v}" for k, v in KEYS.items())
+)
+
+
 def prompt() -> Column:
-    """The evidence of one message as a prompt that asks for one JSON object."""
-    auth = F.concat(F.lit("spf="), F.coalesce("spf", F.lit("unknown")), F.lit(" dkim="), F.coalesce("dkim", F.lit("unknown")), F.lit(" dmarc="), F.coalesce("dmarc", F.lit("unknown")))
-    fields = ", ".join(f.split()[0] for f in ANSWER_SCHEMA.split(", "))
+    """Instruction with the allowed values, the mail, and what the rules found."""
+    verdicts = [F.concat(F.lit(f"{m}="), F.coalesce(m, F.lit("unknown"))) for m in ("spf", "dkim", "dmarc")]
     return F.concat(
-        F.lit("You attribute phishing mail. Answer with one JSON object with the keys " + fields + ".\n\nSender: "), F.col("from_address"), F.lit("\nAuthentication: "), auth,
-        F.lit("\nRule findings: "), F.when(F.size("reasons") > 0, F.array_join("reasons", "; ")).otherwise("none"), F.lit("\nSubject: "), F.col("subject"), F.lit("\n\nBody:\n"), F.col("body_text"),
+        F.lit(INSTRUCTION + "\n\nSubject: "), F.col("subject"), F.lit("\n\n"), F.col("body_text"), F.lit("\n\nEvidence of the rules\n- authentication: "), F.concat_ws(", ", *verdicts), F.lit("\n- sender: "), F.col("from_address"),
+        F.lit("\n- findings: "), F.when(F.size("reasons") > 0, F.array_join("reasons", "; ")).otherwise("none"),
     )
 
 
@@ -77,11 +91,21 @@ def http_provider(url: str, model: str, timeout: float = TIMEOUT_S) -> Provider:
     return ask
 
 
-def attributed(df: DataFrame, provider: Provider | None = None, model: str = "none", enabled: bool = True) -> DataFrame:
+def _asked(provider: Provider, prompt_text: str | None) -> tuple[str | None, str | None, str | None]:
+    """(status, detail, answer) of one call; a failed call is a row with its error."""
+    if prompt_text is None:
+        return None, None, None
+    try:
+        return "ok", None, provider(prompt_text)
+    except Exception as e:
+        return "error", str(e)[:RAW_KEPT], None
+
+
+def attributed(df: DataFrame, provider: Provider | None = None, model: str = "none", enabled: bool = True, calls: int = CALLS) -> DataFrame:
     """Adds ``layer3`` and ``layer3_ran``: null for what the gate leaves out, an envelope for the rest.
 
-    The provider gets the prompts of gated rows only (Python sees nulls for the others); without a provider, and in a
-    plan without layer three, no Python runs at all.
+    The provider gets the prompts of gated rows only (Python sees nulls for the others), at most ``calls`` at a time in each
+    task; without a provider, and in a plan without layer three, no Python runs at all.
     """
     chosen = F.coalesce(attribution_gate(), F.lit(False)) & F.lit(enabled)
     out = df.withColumn("_chosen", chosen)
@@ -91,14 +115,9 @@ def attributed(df: DataFrame, provider: Provider | None = None, model: str = "no
 
         @F.pandas_udf("status string, detail string, answer string")
         def ask(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-            for prompts in batches:
-                rows = []
-                for p in prompts:
-                    try:
-                        rows.append((None, None, None) if p is None else ("ok", None, provider(p)))
-                    except Exception as e:  # a failed call is a row with its error
-                        rows.append(("error", str(e)[:RAW_KEPT], None))
-                yield pd.DataFrame(rows, columns=["status", "detail", "answer"])
+            with ThreadPoolExecutor(calls) as pool:
+                for prompts in batches:
+                    yield pd.DataFrame(list(pool.map(lambda p: _asked(provider, p), prompts)), columns=["status", "detail", "answer"])
 
         out = out.withColumn("_a", ask(F.when(F.col("_chosen"), prompt())))
     out = out.withColumn("layer3", F.when(F.col("_chosen"), envelope(F.col("_a.answer"), F.col("_a.status"), F.col("_a.detail"), model)))

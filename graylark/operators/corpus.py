@@ -92,10 +92,14 @@ def drop_empty(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 def keep_first(df: DataFrame, text: str, order: str) -> DataFrame:
-    """One row per text, the one that comes first; a grouped minimum, so copies of a hot text combine before the shuffle."""
+    """One row per text, the one that comes first, by a 256-bit digest of the text.
+
+    A grouped minimum: copies of a hot text combine before the shuffle, and the key is short whatever the texts' lengths.
+    """
     rest = [c for c in df.columns if c not in (text, order)]
-    first = df.groupBy(text).agg(F.min(F.struct(order, *rest)).alias("_f"))
-    return first.select(*[F.col(text) if c == text else F.col(f"_f.{c}").alias(c) for c in df.columns])
+    keyed = df.withColumn("_digest", F.unhex(F.sha2(F.col(text), 256)))
+    first = keyed.groupBy("_digest").agg(F.min(F.struct(order, *rest, text)).alias("_f"))
+    return first.select(*[F.col(f"_f.{c}").alias(c) for c in df.columns])
 
 
 def union_all(*frames: DataFrame) -> DataFrame:

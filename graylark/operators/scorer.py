@@ -1,7 +1,7 @@
 """Layer two: text scorers behind one interface.
 
 A scorer adds ``probabilities map<string,double>`` (rounded to four places) for a text column; label, confidence and
-preview follow from it.  Three come with the package: a lexical softmax in plain expressions, an MLlib pipeline, and an
+preview follow from it.  Three come with the package: a lexical softmax in plain expressions (a demo), an MLlib pipeline, and an
 adapter for an outside model that scores Arrow batches.
 """
 
@@ -22,8 +22,9 @@ from graylark.functions.constants import BINARY_LABELS, LABELS
 
 PREVIEW = 120
 MAX_TOKENS = 256
+#: Words of the demo scorer: a stand-in that needs no training, not a classifier to rely on.
 PHISH_TERMS = ("verify", "password", "account", "confirm", "suspended", "locked", "click", "refund", "gift card", "mailbox", "urgent", "invoice", "overdue", "claim")
-AI_TERMS = ("for the record", "could you", "as discussed", "minutes of", "i’d rather", "please send", "attached you find", "agreed to")
+AI_TERMS = ("at your convenience", "kindly", "furthermore", "please be advised", "we would like to", "ensure", "as discussed", "do not hesitate")
 HAM_TERMS = ("lunch", "train", "survey", "review", "backup", "tracking", "thanks", "regards", "team", "office")
 WEIGHTS = {"ham": (1.0, 0.55), "phishing": (0.4, 0.6), "ai_phish": (0.1, 0.5)}
 
@@ -34,7 +35,7 @@ TERMS = {"ham": HAM_TERMS, "phishing": PHISH_TERMS, "ai_phish": AI_TERMS}
 def lexical_scorer(df: DataFrame, text: str) -> DataFrame:
     """Softmax over counts of words that speak for each class; blank texts get no probabilities.
 
-    Every step is a column of its own, so no step's expression is repeated in the next.
+    Every step is a column of its own; Catalyst keeps such steps apart as long as nothing is filtered by the outcome.
     """
     names = list(LABELS.values())
     out = df.withColumn("_low", F.lower(F.col(text)))

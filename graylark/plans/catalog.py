@@ -273,9 +273,11 @@ def rule_p2_confusables(spark, d):
     return table(spark, d, "domain_analysis").select("assessment_id", rules.fold_confusables(F.col("sender_domain")).alias("folded"))
 
 
-@query("SELECT assessment_id, levenshtein(regexp_replace(split_part(sender_domain, '.', 1), '[^\\x00-\\x7f]', '~', 'g'), 'paypal')::INT AS edits FROM domain_analysis")
+@query(f"SELECT assessment_id, brand, levenshtein(regexp_replace(split_part(sender_domain, '.', 1), '[^\\x00-\\x7f]', '~', 'g'), brand)::INT AS edits FROM domain_analysis, (SELECT unnest({sql_list(WATCHED_BRANDS)}) AS brand)")
 def rule_p3_levenshtein(spark, d):
-    return table(spark, d, "domain_analysis").select("assessment_id", F.levenshtein(F.substring_index("sender_domain", ".", 1), F.lit("paypal")).alias("edits"))
+    """Every domain against every watched brand, a list of fixed length."""
+    rows = table(spark, d, "domain_analysis").select("assessment_id", F.substring_index("sender_domain", ".", 1).alias("root"), F.explode(C.literals(WATCHED_BRANDS)).alias("brand"))
+    return rows.select("assessment_id", "brand", F.levenshtein("root", "brand").alias("edits"))
 
 
 @query(f"WITH parsed AS (SELECT assessment_id, sender_domain FROM domain_analysis), {LOOK_SQL} SELECT p.assessment_id, look.lookalike_of, coalesce(look.lookalike_score, 0.0) AS lookalike_score FROM parsed p LEFT JOIN look USING (sender_domain)")
@@ -306,11 +308,12 @@ def rule_p8_link_mismatch(spark, d):
     return _signals(spark, d).select("email_id", "link_domain_mismatch")
 
 
-@query("SELECT r.assessment_id, a.domain_age_days FROM domain_analysis r LEFT JOIN (SELECT sender_domain, min(domain_age_days) AS domain_age_days FROM domain_analysis WHERE domain_age_days IS NOT NULL GROUP BY sender_domain) a USING (sender_domain)")
+@query(WITH_PARSED + ", a AS (SELECT sender_domain, min(domain_age_days) AS domain_age_days FROM domain_analysis WHERE domain_age_days IS NOT NULL AND sender_domain <> '' GROUP BY sender_domain) SELECT email_id, domain_age_days, CASE WHEN domain_age_days IS NULL THEN 'unavailable' ELSE 'table' END AS domain_age_source FROM parsed LEFT JOIN a USING (sender_domain)")
 def rule_p9_domain_age(spark, d):
-    rows = table(spark, d, "domain_analysis")
-    ages = rows.where("domain_age_days is not null").groupBy("sender_domain").agg(F.min("domain_age_days").alias("domain_age_days"))
-    return rows.select("assessment_id", "sender_domain").join(ages, "sender_domain", "left").select("assessment_id", "domain_age_days")
+    """The signals of all messages with the known ages of their domains."""
+    known = table(spark, d, "domain_analysis").where("domain_age_days is not null and sender_domain <> ''")
+    ages = known.groupBy("sender_domain").agg(F.min("domain_age_days").alias("domain_age_days"))
+    return rules.signals(parse.with_body(parse.parsed(emails(spark, d))), ages).select("email_id", "domain_age_days", "domain_age_source")
 
 
 @query("SELECT assessment_id, coalesce(auth.spf = 'pass', false) AND coalesce(auth.dkim = 'pass', false) AND coalesce(auth.dmarc = 'pass', false) AS all_pass, coalesce(auth.spf = 'fail', false) OR coalesce(auth.dkim = 'fail', false) OR coalesce(auth.dmarc = 'fail', false) AS any_fail FROM risk_assessment")
@@ -428,10 +431,8 @@ def m9_selection(spark, d):
 
 # --- layer three ---------------------------------------------------------------------------------------------------------
 
-_KEYS = ", ".join(f.split()[0] for f in attribution.ANSWER_SCHEMA.split(", "))
 
-
-@query(WITH_SCORED + f"SELECT email_id, 'You attribute phishing mail. Answer with one JSON object with the keys {_KEYS}.' || chr(10) || chr(10) || 'Sender: ' || from_address || chr(10) || 'Authentication: spf=' || coalesce(spf, 'unknown') || ' dkim=' || coalesce(dkim, 'unknown') || ' dmarc=' || coalesce(dmarc, 'unknown') || chr(10) || 'Rule findings: ' || CASE WHEN reasons <> '' THEN replace(reasons, ' | ', '; ') ELSE 'none' END || chr(10) || 'Subject: ' || subject || chr(10) || chr(10) || 'Body:' || chr(10) || body_text AS prompt FROM judged")
+@query(WITH_SCORED + f"SELECT email_id, {sql_text(attribution.INSTRUCTION)} || chr(10) || chr(10) || 'Subject: ' || subject || chr(10) || chr(10) || body_text || chr(10) || chr(10) || 'Evidence of the rules' || chr(10) || '- authentication: spf=' || coalesce(spf, 'unknown') || ', dkim=' || coalesce(dkim, 'unknown') || ', dmarc=' || coalesce(dmarc, 'unknown') || chr(10) || '- sender: ' || from_address || chr(10) || '- findings: ' || CASE WHEN reasons <> '' THEN replace(reasons, ' | ', '; ') ELSE 'none' END AS prompt FROM judged")
 def l2_prompt(spark, d):
     return _assessed(spark, d).select("email_id", attribution.prompt().alias("prompt"))
 
@@ -520,10 +521,33 @@ def d10_split(spark, d):
     return _split(spark, d)
 
 
-@query("SELECT * FROM (VALUES ('label', true), ('quality', false), ('text', true)) t(\"column\", present)")
+@query("SELECT * FROM (VALUES ('text, label', true), ('text, quality', false)) t(columns, accepted)")
 def d11_schema(spark, d):
-    have = table(spark, d, "dataset").columns
-    return spark.createDataFrame([(c, c in have) for c in ("text", "label", "quality")], "column string, present boolean")
+    """What the schema check accepts and refuses."""
+
+    def accepted(*columns: str) -> bool:
+        try:
+            return corpus.require(table(spark, d, "dataset"), *columns) is not None
+        except corpus.SchemaError:
+            return False
+
+    return spark.createDataFrame([(", ".join(c), accepted(*c)) for c in (("text", "label"), ("text", "quality"))], "columns string, accepted boolean")
+
+
+_MAPPED = "CASE label WHEN 0 THEN 'Good' WHEN 1 THEN ' Bad' ELSE 'Odd' END"
+
+
+@query("SELECT 'Odd' AS message, count(*) AS mapped FROM dataset WHERE label IN (0, 1)")
+def d4_unmapped(spark, d):
+    """Values without a label are an error that names them; dropped on demand."""
+    rows = table(spark, d, "dataset").select(F.expr(_MAPPED).alias("kind"))
+    mapped = corpus.map_labels(rows, "kind", corpus.parse_label_map("Good=0,Bad=1"))
+    try:
+        corpus.checked_labels(mapped, "kind")
+        message = ""
+    except ValueError as e:
+        message = str(e).split("'")[1]
+    return corpus.checked_labels(mapped, "kind", drop=True).agg(F.lit(message).alias("message"), F.count("*").alias("mapped"))
 
 
 @query(f"WITH {_SPLIT_SQL} SELECT split, count(*) AS total, count_if(label = 0)::BIGINT AS ham, count_if(label = 1)::BIGINT AS phishing, count_if(label = 2)::BIGINT AS ai_phish FROM split GROUP BY split")
@@ -549,17 +573,103 @@ def s10_evaluation_rows(spark, d):
     return readers.evaluation_rows(table(spark, d, "test")).select("row_id", "label")
 
 
-@query("SELECT record_id, label, source FROM dataset")
-def k2_s4_csv(spark, d):
-    """Written as CSV to the shared folder and read again."""
+def _place(spark, name: str) -> str:
+    """A new folder in the shared one."""
     import uuid
 
-    from graylark.sources.writers import scratch
+    return f"{writers.scratch(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query(f"WITH {_SPLIT_SQL} SELECT record_id, text, label, source, split FROM split JOIN (SELECT record_id, text, source FROM dataset) USING (record_id)")
+def k2_csv_splits(spark, d):
+    """The splits written as CSV to the shared folder and read again, texts with their quotes and line ends included."""
+    rows = table(spark, d, "dataset").where("label is not null and text is not null").select("record_id", "text", "label", "source")
+    path = _place(spark, "splits")
+    writers.write_splits(corpus.split(rows, "record_id"), path)
+    return readers.read_splits(spark, path, "record_id bigint, text string, label int, source string, split string")
+
+
+@query("SELECT text, CASE label WHEN 0 THEN '0' WHEN 1 THEN '1' ELSE 'spam?' END AS label FROM dataset WHERE label IS NOT NULL AND text IS NOT NULL")
+def s4_csv_corpus(spark, d):
+    """A CSV corpus with named, numbered and unknown labels."""
+    rows = table(spark, d, "dataset").where("label is not null and text is not null").select("text", F.expr("CASE label WHEN 0 THEN 'Ham' WHEN 1 THEN '1' ELSE 'spam?' END").alias("label"))
+    path = _place(spark, "corpus")
+    rows.write.options(**writers.CSV).csv(path)
+    return readers.read_csv_corpus(spark, path).select("text", "label")
+
+
+@query("SELECT c_custkey::VARCHAR AS k, 'é' || c_name AS v, enc FROM customer, (VALUES ('ISO-8859-1'), ('UTF-8')) t(enc)")
+def s5_encodings(spark, d):
+    """The same table as CSV in two encodings; each is recognised."""
+    rows = table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("k"), F.concat(F.lit("é"), "c_name").alias("v"))
+    out = []
+    for encoding in ("ISO-8859-1", "UTF-8"):
+        path = _place(spark, "encoded")
+        rows.write.options(**writers.CSV).option("encoding", encoding).csv(path)
+        out.append(readers.read_csv_any(spark, path).select("k", "v", F.lit(readers.sniff_encoding(spark, path)).alias("enc")))
+    return out[0].unionByName(out[1])
+
+
+#: Messages as files: name below the folder, content.
+_FILES = {
+    "ham/a.eml": b"Subject: hi\n\nbody", "ham/deep/b.eml": b"Subject: two\r\n\r\nlines", "phishing/c.eml": b"Subject: \n\nonly text", "ai_phish/d.eml": b"Content-Type: text/html\n\n<p>caf\xc3\xa9</p> <b>x</b>",
+    "other/e.eml": b"Subject: no label\n\nx", "ham/blank.eml": b"\n\n ", "ham/notes.txt": b"no message", "ham/f.eml": b"Subject: bad \xff bytes\n\nz\xfe",
+}
+
+
+def _mailbox(spark) -> str:
+    path = _place(spark, "mail")
+    for name, content in _FILES.items():
+        writers.write_bytes(f"{path}/{name}", content)
+    return path
+
 
-    path = f"{scratch(spark)}/csv-{uuid.uuid4().hex}"
-    rows = table(spark, d, "dataset").select("record_id", "label", "source")
-    rows.write.option("header", True).csv(path)
-    return spark.read.schema(rows.schema).csv(path, header=True)
+@query("SELECT * FROM (VALUES ('a.eml', 'hi'), ('b.eml', 'two'), ('c.eml', ''), ('d.eml', ''), ('e.eml', 'no label'), ('blank.eml', ''), ('f.eml', 'bad  bytes')) t(file, subject)")
+def s2_directory(spark, d):
+    """All messages below a folder, whatever their bytes."""
+    return parse.parsed(readers.read_messages(spark, _mailbox(spark))).select("file", "subject")
+
+
+@query("SELECT 'b.eml' AS file, 'two' AS subject")
+def s1_file(spark, d):
+    return parse.parsed(readers.read_messages(spark, _mailbox(spark) + "/ham/deep/b.eml")).select("file", "subject")
+
+
+@query("SELECT * FROM (VALUES ('hi' || chr(10) || chr(10) || 'body', 0, 'a.eml'), ('two' || chr(10) || chr(10) || 'lines', 0, 'b.eml'), ('only text', 1, 'c.eml'), ('café x', 2, 'd.eml'), ('bad  bytes' || chr(10) || chr(10) || 'z', 0, 'f.eml')) t(text, label, source)")
+def s3_label_directory(spark, d):
+    """Folders named after labels; blank messages and other folders stay out."""
+    return readers.read_label_directory(spark, _mailbox(spark))
+
+
+@query("SELECT 'pasted' AS subject, 'a@b.example' AS from_address, 'text' AS body")
+def s6_pasted(spark, d):
+    out = parse.with_body(parse.parsed(readers.from_text(spark, "Subject: pasted\nFrom: a@b.example\n\ntext")))
+    return out.select("subject", "from_address", F.col("body_text").alias("body"))
+
+
+@query(f"WITH {_SPLIT_SQL} SELECT * FROM (SELECT 'total' AS name, count(*) AS n FROM split UNION ALL SELECT split, count(*) FROM split GROUP BY split UNION ALL SELECT 'label ' || name, id FROM (VALUES ('ham', 0), ('phishing', 1), ('ai_phish', 2)) t(name, id))")
+def k3_sidecars(spark, d):
+    """The statistics and the label map beside the splits, read back from the shared folder."""
+    import json
+
+    path = _place(spark, "splits")
+    writers.write_splits(_split(spark, d), path)
+    stats = json.loads(writers.read_text(f"{path}/stats.json"))
+    rows = [("total", stats["total"]), *((k, v["total"]) for k, v in stats["splits"].items()), *((f"label {v}", k) for k, v in writers.read_label_map(path).items())]
+    return spark.createDataFrame(rows, "name string, n bigint")
+
+
+@query("SELECT * FROM (VALUES ('binary', false), ('own-3class', true)) t(model, is_default)")
+def k6_k7_models(spark, d):
+    """Models saved to and found in the shared folder."""
+    root = _place(spark, "models")
+    model = scorer.train(readers.demo_corpus(spark), iterations=2)
+    for name in ("own-3class", "binary"):
+        writers.save_model(model, f"{root}/{name}")
+    writers.write_bytes(f"{root}/notes/readme.txt", b"no model")
+    loaded, labels = writers.load_model(f"{root}/own-3class")
+    assert labels == LABELS and loaded.stages[-1].numClasses == 3
+    return spark.createDataFrame([(n, n == writers.default_model(root)) for n in writers.list_models(root)], "model string, is_default boolean")
 
 
 # --- evaluation ----------------------------------------------------------------------------------------------------------
@@ -630,11 +740,21 @@ def v8_layer_compare(spark, d):
     return metrics.layer_comparison(_binary(predictions(spark, d)))
 
 
-@query()
+_TWO_SQL = "two AS (SELECT (y > 0)::INT AS y, (p > 0)::INT AS p, rules_pred AS r, greatest((p > 0)::INT, rules_pred) AS e FROM pred)"
+
+
+@query(f"""WITH {_PRED_SQL}, {_CLASS_SQL}, {_TWO_SQL}
+SELECT 'accuracy' AS name, avg((y = p)::INT)::DOUBLE AS value FROM pred UNION ALL SELECT 'n_test', count(*)::DOUBLE FROM pred
+UNION ALL SELECT 'macro/' || metric, value FROM (SELECT avg(precision) AS precision, avg(recall) AS recall, avg(f1) AS f1 FROM classes WHERE yn > 0 OR pn > 0) UNPIVOT (value FOR metric IN (precision, recall, f1))
+UNION ALL SELECT 'per_class/' || name || '/' || metric, value FROM (SELECT name, precision, recall, f1, yn::DOUBLE AS support FROM classes) UNPIVOT (value FOR metric IN (precision, recall, f1, support))
+UNION ALL SELECT 'binary_f1/model_only', f1 FROM ({_sql_binary('y', 'p', 'two')}) UNION ALL SELECT 'binary_f1/rules_only', f1 FROM ({_sql_binary('y', 'r', 'two')}) UNION ALL SELECT 'binary_f1/fused', f1 FROM ({_sql_binary('y', 'e', 'two')})""")
 def v9_v10_document(spark, d):
-    import json
+    """All figures of the nested document, one row each."""
 
-    return spark.createDataFrame([(json.dumps(metrics.metrics_document(predictions(spark, d)), sort_keys=True),)], "document string")
+    def leaves(x, path=()):
+        return [leaf for k, v in x.items() for leaf in leaves(v, (*path, k))] if isinstance(x, dict) else [("/".join(path), float(x))]
+
+    return spark.createDataFrame(leaves(metrics.metrics_document(predictions(spark, d))), "name string, value double")
 
 
 @query(f"WITH {_PRED_SQL}, {_CLASS_SQL} SELECT label, printf('| %s | %.3f | %.3f | %.3f | %d |', name, precision, recall, f1, yn) AS line FROM classes")
@@ -648,7 +768,7 @@ def k5_plot_data(spark, d):
     return long.select(F.concat_ws("/", "name", "metric").alias("bar"), "value")
 
 
-@query()
+@query(WITH_FUSED + "SELECT email_id, json_object('final_verdict', final_verdict, 'final_risk_score', final_risk_score, 'layer2_phish_probability', p, 'layer2_ran', layer2_ran)::VARCHAR AS document FROM fused")
 def k1_json(spark, d):
     out = _verdicts(spark, d)
     return out.select("email_id", writers.json_document("final_verdict", "final_risk_score", "layer2_phish_probability", "layer2_ran").alias("document"))

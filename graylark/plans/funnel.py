@@ -46,8 +46,40 @@ def analyze(df: DataFrame, raw: str = "raw_eml", scorer: Scorer = lexical_scorer
     )
 
 
-def health(spark: SparkSession, models: str | None = None) -> dict:
-    """State of the service: a session, a model to load, attribution without a provider."""
-    from graylark.sources.writers import list_models
-
-    return {"status": "ok" if spark is not None else "down", "model_loaded": bool(list_models(models)) if models else None, "layer3_available": False}
+def health(spark: SparkSession, models: str | None = None, url: str | None = None, model: str = "llama3.2") -> dict:
+    """State of the service: a session, the model that would be loaded, and whether a model server can attribute."""
+    from graylark.operators.attribution import probe
+    from graylark.sources.writers import default_model
+
+    try:
+        loaded = default_model(models) if models else None
+    except FileNotFoundError:
+        loaded = None
+    return {"status": "ok" if spark is not None else "down", "model_loaded": loaded, "layer3_available": probe(url, model)[0] if url else False}
+
+
+def analyze_one(spark: SparkSession, raw: str, models: str | None = None, model: str | None = None, ensemble: bool = False, run_layer3: bool = False, provider: Provider | None = None) -> tuple[int, dict]:
+    """The service form for one message: a status like that of HTTP, and the result or a detail.
+
+    503 if models are wanted and there is none, 500 if one can't be loaded or the analysis fails, else 200.
+    """
+    import json
+
+    from graylark.operators.scorer import mllib_scorer
+    from graylark.sources.readers import from_text
+    from graylark.sources.writers import default_model, json_document, load_model
+
+    scorer: Scorer = lexical_scorer
+    if models or model:
+        try:
+            fitted, labels = load_model(model or f"{models}/{default_model(models)}")
+        except FileNotFoundError as e:
+            return 503, {"detail": str(e)}
+        except Exception as e:
+            return 500, {"detail": f"the model can't be loaded: {e}"[:500]}
+        scorer = lambda df, text: mllib_scorer(df, text, fitted, labels)
+    try:
+        out = analyze(from_text(spark, raw), scorer=scorer, ensemble=ensemble, run_layer3=run_layer3, provider=provider).drop("email_id")
+        return 200, json.loads(out.select(json_document(*out.columns).alias("j")).first().j)
+    except Exception as e:
+        return 500, {"detail": f"the analysis failed: {e}"[:500]}

@@ -10,6 +10,7 @@ from graylark.functions.constants import LABELS
 from graylark.operators.corpus import require
 from graylark.operators.parse import parsed, subject_and_body_trimmed, with_body
 from graylark.operators.scorer import collapse_label
+from graylark.sources.writers import CSV_READ
 
 
 def _lenient(content: Column) -> Column:
@@ -22,11 +23,11 @@ def file_name(path: Column) -> Column:
 
 
 def read_messages(spark: SparkSession, path: str) -> DataFrame:
-    """``(file, raw_eml)`` of one .eml file, or of all below a directory, in the order of their paths."""
+    """``(path, file, raw_eml)`` of one .eml file, or of all below a directory.  Who wants them in order sorts by ``path`` at the end."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if not path.endswith(".eml"):
         files = files.option("pathGlobFilter", "*.eml")
-    return files.load(path).orderBy("path").select(file_name(F.col("path")).alias("file"), _lenient(F.col("content")).alias("raw_eml"))
+    return files.load(path).select("path", file_name(F.col("path")).alias("file"), _lenient(F.col("content")).alias("raw_eml"))
 
 
 def read_label_directory(spark: SparkSession, path: str) -> DataFrame:
@@ -43,7 +44,7 @@ def read_label_directory(spark: SparkSession, path: str) -> DataFrame:
 
 def read_csv_corpus(spark: SparkSession, path: str) -> DataFrame:
     """``(text, label, source)`` of a CSV with these columns; names of labels become numbers, other values stay as they are."""
-    rows = require(spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"'), "text", "label")
+    rows = require(spark.read.csv(path, **CSV_READ), "text", "label")
     label = F.col("label")
     for k, v in LABELS.items():
         label = F.when(F.lower(F.col("label")) == v, str(k)).otherwise(label)
@@ -58,7 +59,13 @@ def sniff_encoding(spark: SparkSession, path: str) -> str:
 
 def read_csv_any(spark: SparkSession, path: str) -> DataFrame:
     """A CSV with arbitrary columns, in whichever of the two encodings it is written."""
-    return spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"', encoding=sniff_encoding(spark, path))
+    return spark.read.csv(path, encoding=sniff_encoding(spark, path), **CSV_READ)
+
+
+def read_splits(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """The split files below ``path`` as one table with the column ``split``; the sidecars beside them are left alone."""
+    reader = spark.read.schema(schema) if schema else spark.read
+    return reader.csv(path, pathGlobFilter="*.csv", **CSV_READ)
 
 
 def from_text(spark: SparkSession, text: str) -> DataFrame:
