@@ -22,14 +22,13 @@ from graylark.llm.mojibake import repair
 
 QUOTE = re.compile(r"\s*[>|]")
 DATE = r"(?:\d{4}-\d\d-\d\d|\d{1,2}\.\d{1,2}\.\d{4}|\d{1,2} [^\W\d_]{3,9}\.?,? \d{4}|[^\W\d_]{3,9}\.? \d{1,2}, \d{4}|\d{1,2}/\d{1,2}/\d{2,4})"
-#: Ends of attribution lines, and the lines as a whole.
-ATTRIBUTION_END = re.compile(r"(?:wrote|crit\s?|escribi\S{1,9}|escreveu|пишет|написал\S*|napisa\S{1,6}|yazd\S{1,4}|schrieb|schrieb .{1,90}|wrote on .{4,32}|schrieb am .{4,24}|\S+@\S+)\s?:$", re.I)
+#: Attribution lines as a whole.
 ATTRIBUTION = re.compile(
-    rf"(?:On\s.{{4,160}}\swrote:|.{{2,110}}\swrote on\s.{{4,40}}:|(?:Am\s.{{4,160}}\s)?schrieb\s.{{3,110}}:|.{{2,90}}\sschrieb am\s.{{4,40}}:|Le\s.{{4,160}}\sa\s+\S{{0,6}}crit\s?:"
-    rf"|El\s.{{4,160}}\sescribi\S{{1,9}}:|Em\s.{{4,160}}\sescreveu:|W dniu\s.{{4,160}}\snapisa\S{{1,9}}:|.{{4,160}}\starihinde\s.{{1,24}}:|{DATE}.{{4,160}}:|.{{2,60}}<?\S+@\S+>?.{{0,30}}:)$",
+    rf"(?:On\s.+\swrote:|.+\swrote on\s.+:|(?:Am\s.+\s)?schrieb\s.+:|.+\sschrieb am\s.+:|Le\s.+\sa\s+\S{{0,6}}crit\s?:"
+    rf"|El\s.+\sescribi\S{{1,9}}:|Em\s.+\sescreveu:|W dniu\s.+\snapisa\S{{1,9}}:|.+\starihinde\s.+:|{DATE}.+:|.+\S@\S.*:)$",
     re.I,
 )
-SEPARATOR = re.compile(r"\s*(?:-{3,}\s*[^\W\d_][^-]{3,40}-{3,}|Begin forwarded message:|_{16,})\s*$", re.I)
+SEPARATOR = re.compile(r"\s*(?:-{3,}\s*[^\W\d_][^-]+-{3,}|Begin forwarded message:|_{16,})\s*$", re.I)
 HEADER_FIRST = re.compile(r"\s*\*?(?:From|Von|De|Od|От|Kimden)\s?:\*?\s", re.I)
 HEADER_NEXT = re.compile(r"\s*\*?(?:Sent|Date|To|Cc|Subject|Gesendet|Datum|An|Betreff|Envoy\S{1,6}|À|A|Objet|Date|Enviad[oa]|Fecha|Para|Asunto|Assunto|Data|Отправлено|Дата|Кому|Тема|Wys\S{1,6}no|Do|Temat|G\S{1,6}nderildi|Tarih|Kime|Konu|\S{1,4})\s?:\*?(?:\s|$)", re.I)
 CLOSINGS = (
@@ -38,15 +37,33 @@ CLOSINGS = (
     "bien à vous", "salutations", "meilleures salutations", "amicalement", "sincères salutations", "un saludo", "saludos", "saludos cordiales", "atentamente", "un cordial saludo", "muchas gracias", "atenciosamente", "abraços", "abraço", "cumprimentos",
     "com os melhores cumprimentos", "obrigado", "с уважением", "всего доброго", "с наилучшими пожеланиями", "спасибо", "z poważaniem", "pozdrawiam", "serdecznie pozdrawiam", "z pozdrowieniami", "saygılarımla", "iyi çalışmalar", "teşekkürler", "sevgiler", "saygılar",
 )
-CLOSING = re.compile(rf"\s*(?:{'|'.join(sorted(map(re.escape, CLOSINGS), key=len, reverse=True))})[,.!]?(?: [^\W\d_A-Z]{{2,12}}){{0,2}}\s*$", re.I)
-TAGLINE = re.compile(r"\s*(?:Sent (?:from|via|with) |Get (?:Outlook|the .{2,30} app)\b|Von mein\S+ .{3,40} gesendet|Gesendet (?:von|mit) |Envoy\S{1,6} (?:depuis|de) mon |Enviado (?:desde mi|do meu|de mi) |Отправлено (?:с|из) |Wys\S{1,6}n[eo] z |Inviato da |.{0,24}(?:telefonumdan|mobilden) g\S{1,6}nderildi)", re.I)
-NOTICE = re.compile(
-    r"\W*(?:this|these|the (?:content|information)s?(?: of| in| contained in)? this)\b.{0,30}\b(?:e-?mails?|messages?|communication|transmission).{0,60}(?:confidential|privileged|intended)"
-    r"|\W*(?:diese|die) .{0,20}(?:nachricht|e-?mail).{0,40}vertraulich|\W*est[ea] .{0,20}(?:mensaje|correo|mensagem|e-?mail).{0,40}confidenci|\W*ce .{0,20}(?:message|courriel|mail).{0,40}confidentiel|\W*это .{0,20}(?:сообщение|письмо).{0,40}конфиденциальн"
-    r"|\W*(?:ta )?.{0,12}(?:wiadomo\S{1,6}|e-?mail).{0,30}pouf|\W*bu .{0,20}(?:ileti|e-?posta|mesaj).{0,40}gizli"
-    r"|\W*(?:disclaimer|legal notice|haftungsausschluss|confidentiality(?: notice)?)\b.{0,12}:|.{0,90}accepts no .{0,12}liability|.{0,30}please .{0,12}consider .{0,12}the environment|.{0,12}registered office of",
-    re.I,
-)
+CLOSING = re.compile(rf"\s*(?:{'|'.join(sorted(map(re.escape, CLOSINGS), key=len, reverse=True))})[,.!]?(?: [^\W\d_A-Z]{{2,}}){{0,2}}\s*$", re.I)
+TAGLINE = re.compile(r"\s*(?:Sent (?:from|via|with) |Get (?:Outlook|the .+ app)\b|Von mein\S+ .+ gesendet|Gesendet (?:von|mit) |Envoy\S{1,6} (?:depuis|de) mon |Enviado (?:desde mi|do meu|de mi) |Отправлено (?:с|из) |Wys\S{1,6}n[eo] z |Inviato da |.*(?:telefonumdan|mobilden) g\S{1,6}nderildi)", re.I)
+#: Legal, confidentiality and print notices: how their first clause begins, and what follows in it, in this order.
+NOTICES = tuple(
+    tuple(re.compile(part, re.I) for part in parts)
+    for parts in (
+        (r"\W*(?:this|these|the (?:content|information)s?(?: of| in| contained in)? this)\b", r"\b(?:e-?mails?|messages?|communication|transmission)", r"confidential|privileged|intended"),
+        (r"\W*(?:diese|die) ", r"nachricht|e-?mail", r"vertraulich"), (r"\W*est[ea] ", r"mensaje|correo|mensagem|e-?mail", r"confidenci"), (r"\W*ce ", r"message|courriel|mail", r"confidentiel"), (r"\W*это ", r"сообщение|письмо", r"конфиденциальн"),
+        (r"\W*", r"wiadomo\S{1,6}|e-?mail", r"pouf"), (r"\W*bu ", r"ileti|e-?posta|mesaj", r"gizli"), (r"\W*(?:disclaimer|legal notice|haftungsausschluss|confidentiality(?: notice)?)\b", r":"),
+        (r"", r"accepts no ", r"liability"), (r"", r"please ", r"consider ", r"the environment"), (r"", r"registered office of"),
+    )
+)
+CLAUSE = re.compile(r"[^.!?]*")
+
+
+def _notice(text: str) -> bool:
+    """Whether a text begins with a notice; one pass for each kind, whatever its length."""
+    clause = CLAUSE.match(text).group()
+    for start, *parts in NOTICES:
+        at = start.match(clause)
+        for part in parts:
+            at = at and part.search(clause, at.end())
+        if at:
+            return True
+    return False
+
+
 NAME_WORD = r"(?:[^\W\d_a-zà-öø-ÿа-яё][^\W\d_]*(?:[-’'][^\W\d_]+)?|[^\W\d_]\.)"
 NAME = re.compile(rf"\s*(?:{NAME_WORD},? ){{0,3}}{NAME_WORD}\s*$")
 CONTACT = re.compile(
@@ -58,7 +75,7 @@ CONTACT = re.compile(
 
 def _divider(line: str) -> bool:
     s = line.strip()
-    return bool(s) and len(s) <= 60 and not any(c.isalnum() for c in s) and (len(s) > 1 or s in "—–-_*")
+    return bool(s) and not any(c.isalnum() for c in s) and (len(s) > 1 or s in "—–-_*")
 
 
 def foreign_lines(text: str | None) -> list[int]:
@@ -120,7 +137,7 @@ def foreign_lines(text: str | None) -> list[int]:
             continue
         if line[:1].isalpha() or line[:1] in "*-_(" or not line[:1].isascii():
             end = block_end(i)
-            if NOTICE.match(" ".join(lines[i : min(end, i + 3)])) and not wrote_prose(line):
+            if _notice(" ".join(lines[i : min(end, i + 3)])) and not wrote_prose(line):
                 mark(i, end)
                 i = end
                 continue
@@ -138,7 +155,7 @@ def foreign_lines(text: str | None) -> list[int]:
                 signed = True
                 i = max(end, i + 1)
                 continue
-        if NAME.match(line) and len(line) < 48 and (i == 0 or not filled[i - 1] or signed) and (wrote or signed):
+        if NAME.match(line) and (i == 0 or not filled[i - 1] or signed) and (wrote or signed):
             end = block_end(i)
             if all(CONTACT.match(x) or NAME.match(x) or _divider(x) for x in lines[i + 1 : end]):
                 mark(i, end)
@@ -164,8 +181,10 @@ def foreign_lines(text: str | None) -> list[int]:
     return [i + 1 for i in range(n) if foreign[i]]
 
 
-TITLE = re.compile(r"[^\W\d_]{3,24} / \S{4,20}(?: [^\W\d_]{2,12}){0,2}$")
-GREETING = re.compile(r".{2,46}(?:[,:!]| -)$")
+#: A longer line is prose, not a greeting; a longer line in a signature is prose, not a role or a firm.
+GREETING_WIDTH, ROLE_WIDTH = 46, 60
+TITLE = re.compile(r"[^\W\d_]{3,} / \S{4,}(?: [^\W\d_]{2,}){0,2}$")
+GREETING = re.compile(rf".{{2,{GREETING_WIDTH}}}(?:[,:!]| -)$")
 
 
 def wrote_prose(line: str) -> bool:
@@ -176,36 +195,40 @@ def _attribution(lines: list[str], filled: list[bool], quoted: list[bool], j: in
     """First line of the attribution that ends at line ``j``."""
     if not lines[j].rstrip().endswith(":"):
         return None
-    for k in range(1, 5):
+    k = 0
+    while True:
+        k += 1
         a = j - k + 1
         if a < 0 or not filled[a] or quoted[a]:
             return None
-        text = " ".join(x.strip() for x in lines[a : j + 1])
-        if len(text) < 320 and ATTRIBUTION.match(text):
+        if k > WRAPPED and not OPENS.match(lines[a]):
+            continue
+        if ATTRIBUTION.match(" ".join(x.strip() for x in lines[a : j + 1])):
             # a line more belongs to it where that line opens the attribution
-            while a and k < 4 and filled[a - 1] and not quoted[a - 1] and OPENS.match(lines[a - 1]) and not OPENS.match(lines[a]):
-                a, k = a - 1, k + 1
-            if not OPENS.match(lines[a]) and a and filled[a - 1] and not quoted[a - 1] and len(lines[a - 1]) < 44 and NAME.match(lines[a - 1].rstrip(",")):
+            while a and filled[a - 1] and not quoted[a - 1] and OPENS.match(lines[a - 1]) and not OPENS.match(lines[a]):
+                a -= 1
+            if not OPENS.match(lines[a]) and a and filled[a - 1] and not quoted[a - 1] and NAME.match(lines[a - 1].rstrip(",")):
                 a -= 1
-                if a and filled[a - 1] and OPENS.match(lines[a - 1]) and len(lines[a - 1]) < 44:
+                if a and filled[a - 1] and OPENS.match(lines[a - 1]):
                     a -= 1
             return a
-    return None
 
 
+#: Lines of an attribution that needn't begin with one of its opening words.
+WRAPPED = 4
 OPENS = re.compile(rf"\s*(?:On\b|Am\b|Le\b|El\b|Em\b|W dniu\b|{DATE})", re.I)
 #: Attributions that need no quoted line behind them to be known.
-SURE = re.compile(rf"(?:On {DATE}.{{0,110}} wrote:|Am {DATE}.{{0,110}} schrieb .{{2,110}}:|Le {DATE}.{{0,110}}crit\s?:|El {DATE}.{{0,110}} escribi\S{{1,9}}:|Em {DATE}.{{0,110}} escreveu:|W dniu {DATE}.{{0,110}}:|.{{2,90}} wrote on {DATE}:|.{{2,60}} schrieb am {DATE}:|{DATE} \d\d:\d\d,? .{{0,60}}@.{{0,60}}:|.{{3,110}}{DATE} tarihinde .{{1,24}}:)$")
+SURE = re.compile(rf"(?:On {DATE}.* wrote:|Am {DATE}.* schrieb .+:|Le {DATE}.*crit\s?:|El {DATE}.* escribi\S{{1,9}}:|Em {DATE}.* escreveu:|W dniu {DATE}.*:|.+ wrote on {DATE}:|.+ schrieb am {DATE}:|{DATE} \d\d:\d\d,? .*@.*:|.+{DATE} tarihinde .+:)$")
 
 
 def _attributed_block(lines: list[str], filled: list[bool], i: int) -> bool:
     text = ""
-    for k in range(i, min(i + 4, len(lines))):
-        if not filled[k]:
+    for k in range(i, len(lines)):
+        if not filled[k] or k - i >= WRAPPED and not OPENS.match(lines[i]):
             return False
         text = (text + " " + lines[k].strip()).strip()
         if text.endswith(":"):
-            return bool(SURE.match(text)) and (k + 1 >= len(lines) or not QUOTE.match(lines[k + 1]) or True)
+            return bool(SURE.match(text))
     return False
 
 
@@ -224,7 +247,7 @@ def _header(lines: list[str], filled: list[bool], i: int) -> int | None:
     if not HEADER_FIRST.match(lines[j]):
         return None
     end, found = j, 0
-    while end < n and filled[end] and end - j < 9:
+    while end < n and filled[end]:
         found += bool(HEADER_NEXT.match(lines[end])) if end > j else 0
         end += 1
     if found < 2:
@@ -255,7 +278,7 @@ def _forwarded_body(lines: list[str], filled: list[bool], quoted: list[bool], i:
             pass
         elif CLOSING.match(line) or _divider(line):
             end = max(_signature_end(lines, filled, quoted, i + 1, n, True), i + 1)
-        elif TAGLINE.match(line) or NOTICE.match(line):
+        elif TAGLINE.match(line) or _notice(line):
             pass
         elif NAME.match(line) and all(CONTACT.match(x) or NAME.match(x) or _divider(x) for x in lines[i + 1 : end]):
             pass
@@ -280,8 +303,8 @@ def _signature_end(lines: list[str], filled: list[bool], quoted: list[bool], i:
         line = lines[i].strip()
         if quoted[i] or SEPARATOR.match(line) and _header(lines, filled, i) is not None or HEADER_FIRST.match(line):
             break
-        plain = (NAME.match(line) and len(line) < 48) or CONTACT.match(line) or _divider(line)
-        if not plain and not (blanks == 0 and end == i and seen_name and len(line) < 60 and not line.endswith((".", "?", "!", ",", ":")) and i and not CLOSING.match(lines[i - 1])):
+        plain = NAME.match(line) or CONTACT.match(line) or _divider(line)
+        if not plain and not (blanks == 0 and end == i and seen_name and len(line) < ROLE_WIDTH and not line.endswith((".", "?", "!", ",", ":")) and i and not CLOSING.match(lines[i - 1])):
             break
         seen_name = True
         blanks = 0

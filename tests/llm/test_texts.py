@@ -94,6 +94,26 @@ def test_foreign_lines():
     assert replies.own_text(text) == "Hello,\n\nmy answer"
 
 
+def test_no_length_hides_a_line():
+    """Long names, addresses, headers and dividers, attributions wrapped over many lines."""
+    name, addr = "Ruth " + "Wrexavar-" * 30 + "Bee", "r" * 400 + "@x.example"
+    text = f"Fine by me.\n\nOn 2021-05-24, at 10:10,\n{name}\n" + "of the office\n" * 6 + f"<{addr}>\nwrote:\n> old\n"
+    assert replies.foreign_lines(text) == list(range(3, 14))
+    assert replies.foreign_lines(f"Fine.\n\nOn 2021-05-24 {name} <{addr}> wrote:\n> old") == [3, 4]
+    header = "From: a@b.example\n" + "".join(f"To: p{i}@x.example\n" for i in range(30)) + "Subject: s\nDate: today\n"
+    assert replies.foreign_lines("See below.\n\n" + header + "\nold text") == [*range(3, 36), 37]
+    assert replies.foreign_lines("Fine.\n\n" + "-" * 300 + "\nRuth Bee\n+1 555 010 0000") == [3, 4, 5]
+
+
+def test_huge_lines_end_in_time():
+    import time
+
+    began = time.time()
+    for line in ("a" * 1_000_000 + ":", "word " * 200_000 + ":", "On " * 300_000 + "wrote", "this message " * 60_000, "x@y " * 200_000 + ":"):
+        replies.foreign_lines(f"hello\n\n{line}\n> quoted")
+    assert time.time() - began < 20
+
+
 def test_forwarded_messages():
     below = "My own words are here and there.\r\n\r\n-----Original Message-----\r\nFrom: A B <a@b.example>\r\nSent: 2020-01-01 10:00\r\nTo: C D\r\nSubject: x\r\n\r\nold\r\n"
     assert replies.foreign_lines(below) == [3, 4, 5, 6, 7, 9]
