@@ -15,12 +15,19 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 
+#: Operators of a plan that a shuffle precedes.
+SHUFFLES = ("Join", "Aggregate", "Sort", "Window", "Repartition", "Distinct")
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
     """Give Python work at least two tasks per core.
 
     A table of a few unsplittable files would leave most cores idle; such a table is hashed on ``key`` once.
     Tables that already have enough splits (any large one) stay as they are.
     """
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    if any(x in plan for x in SHUFFLES):  # partitioned as the session wants; asking for their number would run the shuffle
+        return df
     want = 2 * df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= want // 2 else df.repartition(want, key)
 

@@ -3,7 +3,9 @@
 Method: Pfair scheduling.  A source's records, in hash order and repeated as often as its target asks (never beyond its
 cap), form a stream that is cut into blocks of ``block_tokens``.  Block j of a source of weight w is released at slot
 floor(j / w) and due at slot ceil((j + 1) / w); earliest deadline first gives every block a slot, so at each slot every
-source is less than one block away from its exact share.  Weights are whole parts of ``PERIOD``, and the schedule
+source is less than one block away from its exact share.  Records are never cut: one belongs to the block that its first token
+falls into, and one longer than a block leaves the next blocks to itself, so in tokens a source is less than one block and one
+record away.  Weights are whole parts of ``PERIOD``, and the schedule
 repeats after ``PERIOD`` slots: the table of one period is all that a task needs, whatever the size of the corpus.
 
 Positions within a source come from two levels of running sums (over hash ranges, then within a range), so no task
@@ -35,7 +37,6 @@ TOKENIZER = os.environ.get("GRAYLARK_TOKENIZER", "/opt/tokenizers/byte_bpe_multi
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 BLOCK_TOKENS = 4096
 PERIOD = 10_000
-RANGES = 4096
 
 
 @lru_cache(maxsize=2)
