@@ -90,10 +90,10 @@ def foreign_lines(text: str | None) -> list[int]:
     foreign = [False] * n
     filled = [bool(x.strip()) for x in lines]
 
-    def block_end(i: int) -> int:
-        while i < n and filled[i]:
-            i += 1
-        return i
+    ends = [n] * (n + 1)  # the blank line behind each line
+    for i in range(n - 1, -1, -1):
+        ends[i] = ends[i + 1] if filled[i] else i
+    block_end = ends.__getitem__
 
     def skip_blank(i: int) -> int:
         while i < n and not filled[i]:
@@ -201,7 +201,7 @@ def _attribution(lines: list[str], filled: list[bool], quoted: list[bool], j: in
         a = j - k + 1
         if a < 0 or not filled[a] or quoted[a]:
             return None
-        if k > WRAPPED and not OPENS.match(lines[a]):
+        if k > WRAPPED and not DATED.match(" ".join(x.strip() for x in lines[a : a + 2])):
             continue
         if ATTRIBUTION.match(" ".join(x.strip() for x in lines[a : j + 1])):
             # a line more belongs to it where that line opens the attribution
@@ -214,21 +214,20 @@ def _attribution(lines: list[str], filled: list[bool], quoted: list[bool], j: in
             return a
 
 
-#: Lines of an attribution that needn't begin with one of its opening words.
+#: Lines of an attribution that needn't begin with one of its opening words and a date.
 WRAPPED = 4
+DATED = re.compile(rf"(?:(?:On|Am|Le|El|Em|W dniu) )?{DATE}")
 OPENS = re.compile(rf"\s*(?:On\b|Am\b|Le\b|El\b|Em\b|W dniu\b|{DATE})", re.I)
 #: Attributions that need no quoted line behind them to be known.
 SURE = re.compile(rf"(?:On {DATE}.* wrote:|Am {DATE}.* schrieb .+:|Le {DATE}.*crit\s?:|El {DATE}.* escribi\S{{1,9}}:|Em {DATE}.* escreveu:|W dniu {DATE}.*:|.+ wrote on {DATE}:|.+ schrieb am {DATE}:|{DATE} \d\d:\d\d,? .*@.*:|.+{DATE} tarihinde .+:)$")
 
 
 def _attributed_block(lines: list[str], filled: list[bool], i: int) -> bool:
-    text = ""
     for k in range(i, len(lines)):
-        if not filled[k] or k - i >= WRAPPED and not OPENS.match(lines[i]):
+        if not filled[k] or k - i == WRAPPED and not DATED.match(" ".join(x.strip() for x in lines[i : i + 2])):
             return False
-        text = (text + " " + lines[k].strip()).strip()
-        if text.endswith(":"):
-            return bool(SURE.match(text))
+        if lines[k].endswith(":"):
+            return bool(SURE.match(" ".join(x.strip() for x in lines[i : k + 1])))
     return False
 
 
