@@ -16,7 +16,7 @@ def similarity(a, b):
     return len(x & y) / len(x | y)
 
 
-def corpus(n, seed, hot=0, shuffled=True):
+def corpus(n, seed, hot=0):
     """Texts with edited copies, repeated rows and ``hot`` equal rows."""
     rng = random.Random(seed)
     vocabulary = [f"w{i}" for i in range(4000)]
@@ -27,7 +27,7 @@ def corpus(n, seed, hot=0, shuffled=True):
         texts.append(" ".join(base))
         for _ in range(rng.choice([0, 0, 1, 3])):
             copy = [w if rng.random() > rng.choice([0.0, 0.05, 0.12]) else rng.choice(vocabulary) for w in base]
-            shuffled and rng.random() < 0.2 and rng.shuffle(copy)
+            rng.random() < 0.2 and rng.shuffle(copy)
             texts.append(rng.choice([" ", "\n", "\t"]).join(copy).upper() if rng.random() < 0.1 else " ".join(copy))
     return texts[:n] + ["one and the same hot text for all"] * hot + [None, "", " \r\n"]
 
@@ -106,10 +106,10 @@ def test_components_of_a_long_path(spark):
 
 
 def test_overlap_against_brute_force(spark):
-    texts = corpus(300, 3, shuffled=False)
+    texts = corpus(300, 3)
     rng = random.Random(4)
     train = [(i, t) for i, t in enumerate(texts)]
-    evaluation = [(1000 + k, rng.choice(texts)) for k in range(60)] + [(2000 + i, t) for i, t in enumerate(corpus(40, 3, shuffled=False))]
+    evaluation = [(1000 + k, rng.choice(texts)) for k in range(60)] + [(2000 + i, t) for i, t in enumerate(corpus(40, 3))]
     schema = "row_id bigint, text string"
     found = overlap.overlaps(spark.createDataFrame(train, schema), spark.createDataFrame(evaluation, schema), "row_id", "text", 0.7).collect()
     want = {(e, t) for e, a in evaluation for t, b in train if a and b and a.strip() and b.strip() and similarity(a, b) >= 0.7}
@@ -120,6 +120,24 @@ def test_overlap_against_brute_force(spark):
     assert by[same].eval_covered == 1.0 and by[same].similarity == 1.0
 
 
+EDITS = {
+    "same": lambda rng, ws: ws, "reordered": lambda rng, ws: rng.sample(ws, len(ws)), "deleted": lambda rng, ws: [w for w in ws if rng.random() > 0.15] or ws, "inserted": lambda rng, ws: [x for w in ws for x in ((w, f"n{rng.randrange(9999)}") if rng.random() < 0.2 else (w,))],
+    "replaced": lambda rng, ws: [w if rng.random() > 0.12 else f"r{rng.randrange(9999)}" for w in ws], "reordered and deleted": lambda rng, ws: [w for w in rng.sample(ws, len(ws)) if rng.random() > 0.1] or ws,
+}
+
+
+@pytest.mark.parametrize("kind", EDITS)
+def test_overlap_by_kind_of_edit(spark, kind):
+    """Every pair that the definition has is found, whatever the edit and however short the texts."""
+    rng = random.Random(kind)
+    base = [[f"w{rng.randrange(3000)}" for _ in range(rng.choice([1, 2, 3, 5, 8, 12, 30, 80]))] for _ in range(120)]
+    train = [(1000 + i, " ".join(ws)) for i, ws in enumerate(base)]
+    evaluation = [(i, " ".join(EDITS[kind](rng, ws))) for i, ws in enumerate(base)]
+    want = {(i, j) for i, a in evaluation for j, b in train if similarity(a, b) >= 0.7}
+    frame = lambda rows: spark.createDataFrame(rows, "id bigint, text string")
+    assert len(want) > 60 and {(r.eval_id, r.train_id) for r in overlap.overlaps(frame(train), frame(evaluation), "id", "text", 0.7).collect()} == want
+
+
 def test_overlap_report_counts_all_rows(spark):
     rows = [(i, t, "s" if i % 2 else None) for i, t in enumerate(corpus(40, 5))]
     schema = "row_id bigint, text string, source string"
