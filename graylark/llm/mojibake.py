@@ -21,6 +21,7 @@ damaged but are not restorable; very long texts are processed whole, in one pass
 from __future__ import annotations
 
 import re
+from collections import Counter
 from functools import lru_cache
 
 import zstandard
@@ -152,7 +153,8 @@ def joint_length(words: tuple[str, ...]) -> int:
     """Bytes that words take together, in the one language that suits all of them best; languages that lack many more of the letters than another are left out."""
     low = (" ".join(words) + " ").lower()
     data, letters = low.encode("utf-8", "surrogatepass"), _beyond_ascii(low)
-    alien = {lang: sum(c not in own for c in letters) for lang, own in LETTERS_OF.items()}
+    counts = Counter(letters)
+    alien = {lang: sum(n for c, n in counts.items() if c not in own) for lang, own in LETTERS_OF.items()}
     near = min(alien.values()) + 2
     return min(_languages()[lang].whole(data) + ALIEN_COST * n for lang, n in alien.items() if n <= near)
 
@@ -262,13 +264,13 @@ def repair_word(word: str) -> str:
 
 
 @lru_cache(maxsize=1 << 17)
-def gains(word: str) -> tuple[tuple[int, float], ...]:
-    """``(chain, bytes saved)`` of every single-byte chain that can be undone in a word."""
+def gains(word: str) -> tuple[tuple[int, float, str], ...]:
+    """``(chain, bytes saved, decoding)`` of every single-byte chain that can be undone in a word."""
     out = []
     for k, pair in enumerate(SINGLE_BYTE):
         new = _reread(word, *pair)
         if new is not None and new != word and not LOST.search(new) and _one_script(new):
-            out.append((k, description_length(word) - description_length(new)))
+            out.append((k, description_length(word) - description_length(new), new))
     return tuple(out)
 
 
@@ -277,17 +279,17 @@ def explain(words: list[str]) -> tuple[tuple[str, str], frozenset[str]] | None:
 
     Word by word the lengths are rough: they choose the stretch, and rule out chains that lengthen nearly every word.
     """
-    by_chain: dict[int, list[tuple[str, float]]] = {}
+    by_chain: dict[int, list[tuple[str, float, str]]] = {}
     for w in words:
-        for k, g in gains(w):
-            by_chain.setdefault(k, []).append((w, g))
+        for k, g, new in gains(w):
+            by_chain.setdefault(k, []).append((w, g, new))
     best, chain = float(CHAIN_COST), None
     for k, carried in by_chain.items():
         tried = []
-        if sum(g for _, g in carried) > -ROUGH * len(carried):
+        if sum(x[1] for x in carried) > -ROUGH * len(carried):
             tried.append((0, len(carried), 0))
         total, start, most, span = 0.0, 0, 0.0, (0, 0)
-        for i, (_, g) in enumerate(carried):
+        for i, (_, g, _) in enumerate(carried):
             if total <= 0:
                 total, start = 0.0, i
             total += g
@@ -296,8 +298,8 @@ def explain(words: list[str]) -> tuple[tuple[str, str], frozenset[str]] | None:
         if most > CHAIN_COST and span != (0, len(carried)):
             tried.append((*span, STRETCH_COST))
         for a, b, cost in tried:
-            old = tuple(w for w, _ in carried[a:b])
-            saved = joint_length(old) - joint_length(tuple(_reread(w, *SINGLE_BYTE[k]) for w in old)) - cost
+            old = tuple(x[0] for x in carried[a:b])
+            saved = joint_length(old) - joint_length(tuple(x[2] for x in carried[a:b])) - cost
             if saved > best:
                 best, chain = saved, (SINGLE_BYTE[k], frozenset(old))
     return chain
