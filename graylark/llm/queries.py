@@ -127,6 +127,11 @@ def oracle_sql() -> dict[str, str]:
         "p3_found": f"""WITH s AS MATERIALIZED ({_word_sets('dataset', 'record_id')}), w AS (SELECT id, len(ws) AS n, unnest(ws) AS word FROM s),
 c AS (SELECT a.id AS x, b.id AS y, any_value(a.n) AS nx, any_value(b.n) AS ny, count(*) AS common FROM w a JOIN w b ON a.word = b.word AND a.id < b.id GROUP BY a.id, b.id)
 SELECT x AS record_id_a, y AS record_id_b FROM c WHERE 10 * common >= 7 * (nx + ny - common)""",
+        "p3_groups": f"""WITH RECURSIVE s AS MATERIALIZED (SELECT * FROM ({_word_sets('dataset', 'record_id')}) WHERE len(ws) > 0), w AS (SELECT id, len(ws) AS n, unnest(ws) AS word FROM s),
+c AS (SELECT a.id AS x, b.id AS y, any_value(a.n) AS nx, any_value(b.n) AS ny, count(*) AS common FROM w a JOIN w b ON a.word = b.word AND a.id < b.id GROUP BY a.id, b.id),
+p AS MATERIALIZED (SELECT x, y FROM c WHERE 10 * common >= 7 * (nx + ny - common)), e AS MATERIALIZED (SELECT x AS a, y AS b FROM p UNION ALL SELECT y, x FROM p),
+r(id, other) AS (SELECT a, b FROM e UNION SELECT r.id, e.b FROM r JOIN e ON r.other = e.a)
+SELECT s.id, coalesce(m.least_id, s.id) AS class_id, coalesce(l.n, 0) AS n_links FROM s LEFT JOIN (SELECT id, min(other) AS least_id FROM r GROUP BY id) m ON s.id = m.id LEFT JOIN (SELECT a, count(*) AS n FROM e GROUP BY a) l ON s.id = l.a""",
         "p4_found": f"""WITH e AS MATERIALIZED ({_word_sets(_EVALUATION, 'row_id', ', split')}), t AS MATERIALIZED ({_word_sets('train', 'row_id')}),
 ew AS (SELECT id, split, len(ws) AS n, unnest(ws) AS word FROM e), tw AS (SELECT id, len(ws) AS n, unnest(ws) AS word FROM t),
 c AS (SELECT split, a.id AS x, b.id AS y, any_value(a.n) AS nx, any_value(b.n) AS ny, count(*) AS common FROM ew a JOIN tw b ON a.word = b.word GROUP BY split, a.id, b.id)
