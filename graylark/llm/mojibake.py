@@ -148,13 +148,18 @@ def description_length(word: str) -> float:
     return min(languages[lang].length(data) + ALIEN_COST * sum(c not in LETTERS_OF[lang] for c in letters) for lang in _suited(frozenset(letters)))
 
 
+@lru_cache(maxsize=1 << 14)
+def aliens(words: tuple[str, ...]) -> dict[str, int]:
+    """By language, how many letters and signs of the words it doesn't have."""
+    counts = Counter(c for w in words if not w.isascii() for c in _beyond_ascii(w.lower()))
+    return {lang: sum(n for c, n in counts.items() if c not in own) for lang, own in LETTERS_OF.items()}
+
+
 @lru_cache(maxsize=1 << 14)
 def joint_length(words: tuple[str, ...]) -> int:
     """Bytes that words take together, in the one language that suits all of them best; languages that lack many more of the letters than another are left out."""
-    low = (" ".join(words) + " ").lower()
-    data, letters = low.encode("utf-8", "surrogatepass"), _beyond_ascii(low)
-    counts = Counter(letters)
-    alien = {lang: sum(n for c, n in counts.items() if c not in own) for lang, own in LETTERS_OF.items()}
+    data = (" ".join(words) + " ").lower().encode("utf-8", "surrogatepass")
+    alien = aliens(words)
     near = min(alien.values()) + 2
     return min(_languages()[lang].whole(data) + ALIEN_COST * n for lang, n in alien.items() if n <= near)
 
@@ -298,8 +303,10 @@ def explain(words: list[str]) -> tuple[tuple[str, str], frozenset[str]] | None:
         if most > CHAIN_COST and span != (0, len(carried)):
             tried.append((*span, STRETCH_COST))
         for a, b, cost in tried:
-            old = tuple(x[0] for x in carried[a:b])
-            saved = joint_length(old) - joint_length(tuple(x[2] for x in carried[a:b])) - cost
+            old, new = tuple(x[0] for x in carried[a:b]), tuple(x[2] for x in carried[a:b])
+            if min(aliens(new).values()) > min(aliens(old).values()):
+                continue  # more letters that no language has
+            saved = joint_length(old) - joint_length(new) - cost
             if saved > best:
                 best, chain = saved, (SINGLE_BYTE[k], frozenset(old))
     return chain
