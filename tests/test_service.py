@@ -143,3 +143,39 @@ def test_command_line_corpus(spark, tmp_path, capsys):
     test.write_text("text,label\nverify your account,1\nlunch at noon,0\n")
     run(capsys, "evaluate", "--csv", str(test), "--out", str(tmp_path / "report"))
     assert json.loads((tmp_path / "report" / "metrics.json").read_text())["n_test"] == 2 and "# Evaluation" in (tmp_path / "report" / "report.md").read_text()
+
+
+def test_a_model_server(spark):
+    """Probe and provider against a small server that speaks the protocol."""
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    class Handler(BaseHTTPRequestHandler):
+        def reply(self, document):
+            body = json.dumps(document).encode()
+            self.send_response(200)
+            self.send_header("Content-Length", str(len(body)))
+            self.end_headers()
+            self.wfile.write(body)
+
+        def do_GET(self):
+            self.reply({"models": [{"name": "own:7b"}]})
+
+        def do_POST(self):
+            asked = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            self.reply({"response": json.dumps({"primary_objective": "Other", "analyst_summary": asked["model"]})})
+
+        def log_message(self, *_):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    url = f"http://127.0.0.1:{server.server_port}"
+    try:
+        assert attribution.probe(url, "own") == (True, "ok") and not attribution.probe(url, "other")[0]
+        assert funnel.health(spark, url=url, model="own")["layer3_available"]
+        df = spark.createDataFrame([(MAIL % "one",)], "raw_eml string")
+        row = funnel.analyze(df, run_layer3=True, provider=attribution.http_provider(url, "own"), model="own").first()
+        assert row.layer3_ran and row.layer3.answer.analyst_summary == "own" and row.layer3.meta.model == "own"
+    finally:
+        server.shutdown()
