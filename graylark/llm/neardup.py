@@ -29,16 +29,20 @@ from graylark.llm.prefixes import PARITY, divided, may_reach, prefixes
 from graylark.llm.stored import count_table, discard, distinct_texts, stored, word_hashes
 
 
-def cell_pairs(rows: DataFrame, bucket: str, member: str) -> DataFrame:
-    """``(p, q)``, p < q, for all members of ``rows (bucket, member, _blocks)`` that share a bucket, each pair once for each bucket.
+def cells_of(rows: DataFrame, bucket: str, member: str) -> DataFrame:
+    """``(bucket, x, y, ms)``: the members of two blocks of a bucket, for every pair of blocks of ``rows (bucket, member, _blocks)``.
 
-    Members of a bucket are spread over its blocks and every pair of blocks is a join key of its own, so a hot bucket is
-    divided among tasks, each of which holds two blocks at a time.
+    Members of a bucket are spread over its blocks and every pair of blocks is a key of its own, so a hot bucket is divided
+    among tasks, each of which holds two blocks at a time.
     """
     placed = rows.select(bucket, F.col(member).alias("m"), "_blocks", F.pmod(F.xxhash64(member), F.col("_blocks")).cast("int").alias("k"))
     spread_rows = placed.select(bucket, "m", "k", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_o"))
-    cells = spread_rows.groupBy(bucket, F.least("k", "_o").alias("x"), F.greatest("k", "_o").alias("y")).agg(F.collect_list(F.struct("m", "k")).alias("ms"))
-    one = cells.where(F.size("ms") > 1).select(F.explode("ms").alias("p"), "ms", "x", "y")
+    return spread_rows.groupBy(bucket, F.least("k", "_o").alias("x"), F.greatest("k", "_o").alias("y")).agg(F.collect_list(F.struct("m", "k")).alias("ms"))
+
+
+def cell_pairs(rows: DataFrame, bucket: str, member: str) -> DataFrame:
+    """``(p, q)``, p < q, for all members that share a bucket, each pair once for each bucket."""
+    one = cells_of(rows, bucket, member).where(F.size("ms") > 1).select(F.explode("ms").alias("p"), "ms", "x", "y")
     return one.select("p", F.explode("ms").alias("q"), "x", "y").where("p.m < q.m and (x = y or p.k <> q.k)").select(F.col("p.m").alias("p"), F.col("q.m").alias("q"))
 
 

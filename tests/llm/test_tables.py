@@ -57,6 +57,17 @@ def test_small_blocks_change_nothing(spark, monkeypatch):
     assert len(rows) == len(set(rows)) and set(rows) == {(i, j) if i % 2 else (j, i) for i, j in want if (i + j) % 2}
 
 
+def test_no_task_holds_a_hot_bucket(spark, monkeypatch):
+    """One key in half of all rows: what a task gets at a time stays within two blocks."""
+    monkeypatch.setattr(prefixes, "BLOCK", 100)
+    rows = spark.range(4000).select(F.when(F.col("id") % 2 == 0, 0).otherwise(F.col("id")).alias("key"), "id")
+    large = prefixes.divided(rows)
+    assert [tuple(r) for r in large.collect()] == [(0, 20)]
+    cells = neardup.cells_of(rows.join(large, "key"), "key", "id").select(F.size("ms").alias("n")).collect()
+    assert len(cells) == 20 * 21 // 2 and max(r.n for r in cells) <= 2 * 150
+    assert neardup.cell_pairs(rows.join(large, "key"), "key", "id").count() == 2000 * 1999 // 2
+
+
 def test_stored_tables_can_be_released(spark):
     import glob
 
