@@ -39,9 +39,16 @@ UNSPACED = frozenset(c for c in TERMINATORS if unicodedata.east_asian_width(c) i
 CLOSERS = frozenset(c for c in _with("Sentence_Break=Close") if c in "\"'" or unicodedata.category(c) in ("Pe", "Pf"))
 #: What continues a sentence after a terminator; a dash may open the next one.
 CONTINUES = frozenset(c for c in _with("Sentence_Break=SContinue") if unicodedata.category(c) != "Pd") | frozenset(")]}»”%…&/=+")
-CLOSING = f"[{re.escape(''.join(sorted(CLOSERS)))}]"
-CLOSING_MARKS = "".join(CLOSERS)
-CANDIDATE = re.compile(f"[{re.escape(TERMINATORS)};;][{re.escape(TERMINATORS)}…]*{CLOSING}*")
+CLOSING_MARKS = "".join(sorted(CLOSERS))
+
+
+def _one_of(chars: str) -> str:
+    """A class of characters; those beyond the first plane apart, as one class of all would be searched one by one."""
+    low, high = (re.escape("".join(c for c in chars if (c > "\uffff") == beyond)) for beyond in (False, True))
+    return f"(?:[{low}]|(?=[\U00010000-\U0010ffff])[{high}])" if high else f"[{low}]"
+
+
+CANDIDATE = re.compile(f"{_one_of(TERMINATORS + ';;')}{_one_of(TERMINATORS + '…')}*{_one_of(CLOSING_MARKS)}*")
 SPANS = re.compile('“[^”“„]*”|«[^»«]*»|„[^“”„]*[“”]|「[^」]*」|『[^』]*』|"[^"]*"|（[^（）]*）|\\([^()]*\\)|‹[^›]*›')
 BULLET = re.compile("[ \t]*(?:[•·▪◦‣●○■*–—-]|\\(?\\d{1,2}[.)](?=[ \t]+[^\\W\\d_]))[ \t]+")
 PARAGRAPH = re.compile("[^\n]*\\S[^\n]*(?:\n[^\n]*\\S[^\n]*)*")
@@ -88,6 +95,8 @@ ANY_ABBREVIATION = frozenset(w for known in ABBREVIATIONS.values() for w in know
 COMMON_WORDS = {lang: frozenset(ws.split()) for lang, ws in COMMON.items()}
 LANGUAGES_OF: dict[str, list[str]] = {w: [lang for lang, ws in COMMON_WORDS.items() if w in ws] for ws in COMMON_WORDS.values() for w in ws}
 LETTERS = re.compile(r"(?<!\w)[^\W\d_]+(?!\w)")
+#: Letters with a full stop each.
+DOTTED = re.compile(r"(?:[^\W\d_]\.){2,}")
 #: Characters around an abbreviation that tell its language.
 NEAR = 160
 OPENERS = "\"'“‘«‹„‚([{¿¡「『（【《〈—–- "
@@ -136,7 +145,7 @@ def _abbreviation(word: str, lang: str | None, sure: bool) -> int:
         return known
     if initial:
         return 1
-    if re.fullmatch("(?:[^\\W\\d_]\\.){2,}", word):
+    if DOTTED.fullmatch(word):
         return 4
     return 0
 
@@ -217,7 +226,7 @@ def _breaks(text: str, start: int, end: int, languages: Languages) -> list[int]:
             token = word.group() if word else "."
             nxt = piece[j : j + 14]
             low = token.lower().rstrip(".")
-            if b == a + 1 and (low in ANY_ABBREVIATION or len(low) == 1 or "." in low) and _goes_on(piece, token, j, *languages.at(start + last, start + a)):
+            if b == a + 1 and (low in ANY_ABBREVIATION or len(low) == 1 and low.isalpha() or DOTTED.fullmatch(token)) and _goes_on(piece, token, j, *languages.at(start + last, start + a)):
                 continue
             if token[:-1].isdigit() and len(token) <= 3 and re.match("[^\\W\\d_]+", nxt) and re.match("[^\\W\\d_]+", nxt).group().lower() in MONTHS:
                 continue
