@@ -46,7 +46,7 @@ ROUGH = 2.5
 UTF8_RUN = re.compile(rb"[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}")
 #: What a restored character may be: the scripts and signs that running text uses.
 PLAUSIBLE = re.compile("^[\xa0-ſȘ-țˆ˜Ά-ώЁ-џҐґא-ת؀-ۿऀ-ॿ฀-๿ - ₠-₿№™←-⇿　-ヿ一-鿿가-힣＀-￯ﬁﬂ﻿\U0001f300-\U0001faff]+$")
-TOKEN = re.compile("[A-Za-z]*[^\x00-\x7f][A-Za-z\x80-\U0010ffff]*")
+TOKEN = re.compile("(?<![A-Za-z])[A-Za-z]*+[^\x00-\x7f][A-Za-z\x80-\U0010ffff]*+")
 LOST = re.compile("[\x80-\x9f�]")
 #: Words that can be evidence for a single-byte chain.  Quotes, dashes and currency signs alone are no
 #: evidence, as their UTF-8 is longer than that of the letters at their places in other encodings.
