@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import re
 import tempfile
 import uuid
@@ -36,8 +37,11 @@ _written: list[str] = []
 def stored(df: DataFrame) -> DataFrame:
     """``df`` written once and read again: its lineage is cut and every executor can read it.
 
-    The table stays until :func:`discard` or :func:`release`: what reads it may run at any time.
+    The table stays until :func:`discard`, :func:`release` or the end of the program: what reads it may run at any time.
     """
+    if not _written:
+        atexit.unregister(_at_exit)
+        atexit.register(_at_exit, df.sparkSession)
     path = f"{shared_folder(df.sparkSession)}/graylark-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
@@ -59,6 +63,13 @@ def discard(df: DataFrame) -> None:
         _delete(df.sparkSession, path)
 
 
+def _at_exit(spark: SparkSession) -> None:
+    try:
+        release(spark)
+    except Exception:  # the session is gone
+        pass
+
+
 def release(spark: SparkSession) -> None:
     """Delete all tables written so far: to be called when the results that need them have been written."""
     while _written:
