@@ -77,7 +77,6 @@ OTHER_STREETS = (
 TURKISH_STREETS = ("sokak", "sokağı", "sok.", "caddesi", "cad.", "mahallesi")
 BOXES = ("box", "postfach", "apartado", "boîte postale", "caixa postal", "skrytka pocztowa", "posta kutusu")
 GERMAN_STREET = re.compile(r"(?:straße|strasse|stra\ufffd{1,4}e|str\.|weg|gasse|allee|platz|ufer|damm|ring)\s[\s>|]*\d")
-ENGLISH_STREET = re.compile(rf"(?<![^\W_])(?:{STREET_EN.lower()})(?![^\W_])")
 STREETS = (
     ((), re.compile(rf"(?=\d){LIMIT}\d{{1,5}}[a-zA-Z]?,?{S}(?:[NSEW]\.?{S})?(?:{CAP}{S}){{1,3}}?(?i:(?:{STREET_EN})\b)\.?(?:,?{S}(?i:(?:apt|unit|suite|flat|floor)\.?|\#){S}?\d+\w?)?(?:,{S}{CAP}(?:-{CAP})?(?:{S}[A-Z]{{1,2}}\d{{1,2}}{S}\d[A-Z]{{2}}|{S}\d{{5}})?)?")),
     (FRENCH_STREETS, re.compile(rf"(?=\d){LIMIT}\d{{1,4}}(?:{S}?(?:bis|ter))?,?{S}(?i:{'|'.join(map(re.escape, FRENCH_STREETS))}){S}(?:(?i:de la|des|du|de|de l’|d’|l’|la|le|les){S}?)?{CAP}(?:,?{S}\d{{5}}{S}{CAP}(?:-{CAP})?)?")),
