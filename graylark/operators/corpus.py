@@ -12,8 +12,6 @@ from graylark.functions.constants import LABELS
 
 TEST_SHARE, VALIDATION_SHARE = (15, 100), (15, 100)
 SEED = 42
-#: Hash ranges per class for ranks that no single task computes.
-RANGES = 4096
 
 
 class SchemaError(ValueError):

@@ -165,7 +165,6 @@ finals AS MATERIALIZED (SELECT *, CASE WHEN p IS NULL THEN infra_risk_score ELSE
 based AS (SELECT *, CASE WHEN final_risk_score >= 60 THEN 'phishing' WHEN final_risk_score >= 30 THEN 'suspicious' ELSE 'clean' END AS base FROM finals),
 fused AS MATERIALIZED (SELECT *, CASE WHEN NOT had AND base = 'phishing' THEN 'suspicious' WHEN base = 'phishing' AND coalesce(label2 = 'ai_phish', false) THEN 'ai_phish' ELSE base END AS final_verdict FROM based)"""
 WITH_PARSED = f"WITH {PARSED_SQL} "
-WITH_LOOK = f"WITH {PARSED_SQL}, {LOOK_SQL} "
 WITH_SCORED = f"WITH {PARSED_SQL}, {LOOK_SQL}, {SIGNAL_SQL}, {SCORE_SQL} "
 WITH_FUSED = f"WITH {PARSED_SQL}, {LOOK_SQL}, {SIGNAL_SQL}, {SCORE_SQL}, {GATE_SQL}, {sql_lexical('gated', 'full_text', 'lex')}, {FUSED_SQL} "
 

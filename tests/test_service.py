@@ -85,6 +85,11 @@ def test_small_files(spark, tmp_path):
         writers.default_model(str(tmp_path))
 
 
+def test_json_keeps_nulls(spark, tmp_path):
+    writers.write_json(spark.createDataFrame([(1, None)], "a int, b string"), str(tmp_path / "j"))
+    assert [json.loads(r.value) for r in spark.read.text(str(tmp_path / "j")).collect()] == [{"a": 1, "b": None}]
+
+
 def test_csv_keeps_texts(spark, tmp_path):
     texts = ['quote " and, comma', "line\nend", "return\r\nend", "  blanks  ", "", "tab\t", "\\", '\\"', "é x", '"', "null"]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(99, None)], "i int, text string")
