@@ -108,7 +108,7 @@ def _literals() -> ahocorasick.Automaton:
 CAPITAL_WORD = re.compile(CAP.removesuffix("[\\w’'-]*") + "(?<![^\\W\\d_].)(?<![^\\W\\d_][-’'].)[^\\W\\d_]*(?:[-’'][^\\W\\d_]+)*")
 SMALL_PAIR = re.compile(r"(?m)(?:^[ \t>|*-]*|[:,][ \t*]*)([^\W\d_]{2,})[ \t]+([^\W\d_]{6,})")
 SMALL_END = re.compile(r"(?<![^\W\d_])([^\W\d_]{2,})[ \t]+([^\W\d_]{6,})[ \t]?$")
-INITIAL = re.compile(rf"(?<![\w.])[^\W\d_a-zà-öø-ÿа-яёßıšśžźżłńćęą]{LOST}*\.(?={S}?\S)")
+INITIAL = re.compile(rf"[^\W\d_a-zà-öø-ÿа-яёßıšśžźżłńćęą](?<![\w.].){LOST}*\.(?={S}?\S)")
 GAP = re.compile(S)
 DIGIT = re.compile(r"\d")
 ANGLE = re.compile("<")
@@ -294,7 +294,7 @@ def _score_name(text: str, a: int, d: int, first: str, last: str, base: float) -
     score -= 0.25 * ((not known and first.lower() in _ordinary()) + (last.lower() in _ordinary()))
     if score >= THRESHOLD:
         return score
-    before = text[max(0, a - 64) : a]
+    before = text[max(0, a - 48) : a]
     addressed = ADDRESSED.match(text, d) is not None
     if TITLED.search(before) or LABELLED.search(before) or SPOKE_BEFORE.search(before):
         score += 0.4
@@ -327,12 +327,10 @@ def _people(text: str) -> list[tuple[int, int]]:
             words = sorted({*words, *((a, b, text[a:b]) for a, b in small)})
     initials = {m.start(): m.end() for m in INITIAL.finditer(text)}
     proposed: list[tuple[float, int, int, str, str]] = []  # score, start, end, given, family
-    after = False
-    for k, (a, b, w) in enumerate(words):
-        before = after
-        after = k + 1 < len(words) and not text[b : words[k + 1][0]].strip(BETWEEN)
-        if not before and not after:  # most words stand alone
-            continue
+    near = [not text[x[1] : y[0]].strip(BETWEEN) for x, y in zip(words, words[1:])]
+    near.append(False)
+    for k in [k for k, x in enumerate(near) if x or k and near[k - 1]]:  # most words stand alone
+        a, b, w = words[k]
         small = w.lower()
         given = small in GIVEN or lost and _is_given(w)
         if not given and (b - a < 2 or small in NO_NAME):
