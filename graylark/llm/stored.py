@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 
 #: Cells and rows of the frequency sketch: its size doesn't depend on the data.
 CELL_BITS, ROWS = 15, 3
-CELLS = 1 << CELL_BITS
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -93,20 +92,21 @@ def word_hashes(text: str) -> np.ndarray:
     return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, set(words(text))), dtype=np.uint64))
 
 
-def cells_of(hashes: np.ndarray) -> list[np.ndarray]:
+def cells_of(hashes: np.ndarray, bits: int = CELL_BITS, rows: int = ROWS) -> list[np.ndarray]:
     """The cell of each hash in each row of the sketch."""
-    return [((hashes >> np.uint64(CELL_BITS * r)) & np.uint64(CELLS - 1)).astype(np.int64) for r in range(ROWS)]
+    return [((hashes >> np.uint64(bits * r)) & np.uint64((1 << bits) - 1)).astype(np.int64) for r in range(rows)]
 
 
-def count_table(df: DataFrame, column: str, hashes=word_hashes) -> tuple[np.ndarray, int]:
+def count_table(df: DataFrame, column: str, hashes=word_hashes, bits: int = CELL_BITS, rows: int = ROWS) -> tuple[np.ndarray, int]:
     """A sketch of how many texts hold each hash, and the number of texts; all texts are counted.
 
     Each task counts into a sketch of fixed size and sends its cells as rows, which are summed by cell: no task ever holds
     more than one sketch, however many there are.  Only the sums reach the driver.
     """
+    size = 1 << bits
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, n = np.zeros(ROWS * CELLS, dtype=np.int64), 0
+        total, n = np.zeros(rows * size, dtype=np.int64), 0
         for batch in batches:
             chunk = []
             for text in batch.column(0).to_pylist():
@@ -114,21 +114,22 @@ def count_table(df: DataFrame, column: str, hashes=word_hashes) -> tuple[np.ndar
                     n += 1
                     chunk.append(hashes(text))
             if chunk:
-                for r, c in enumerate(cells_of(np.concatenate(chunk))):
-                    total[r * CELLS : (r + 1) * CELLS] += np.bincount(c, minlength=CELLS)
+                for r, c in enumerate(cells_of(np.concatenate(chunk), bits, rows)):
+                    total[r * size : (r + 1) * size] += np.bincount(c, minlength=size)
         cells = np.nonzero(total)[0]
         yield pa.RecordBatch.from_pydict({"cell": pa.array(np.append(cells, -1), pa.int32()), "n": pa.array(np.append(total[cells], n), pa.int64())})
 
     sums = df.select(column).mapInArrow(count, "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     cells, n = sums.column("cell").to_numpy(), sums.column("n").to_numpy()
-    total = np.zeros(ROWS * CELLS, dtype=np.int64)
+    total = np.zeros(rows * size, dtype=np.int64)
     total[cells[cells >= 0]] = n[cells >= 0]
-    return total.reshape(ROWS, CELLS), int(n[cells < 0].sum())
+    return total.reshape(rows, size), int(n[cells < 0].sum())
 
 
 def counts_of(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     """The count of each hash, never less than the true one."""
-    return np.minimum.reduce([table[r][c] for r, c in enumerate(cells_of(hashes))])
+    rows, size = table.shape
+    return np.minimum.reduce([table[r][c] for r, c in enumerate(cells_of(hashes, size.bit_length() - 1, rows))])
 
 
 def frequent_table(df: DataFrame, column: str, share: float, hashes=word_hashes) -> np.ndarray:

@@ -4,6 +4,7 @@ import random
 from collections import Counter, defaultdict
 from itertools import combinations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -68,6 +69,35 @@ def test_no_task_holds_a_hot_bucket(spark, monkeypatch):
     assert neardup.cell_pairs(rows.join(large, "key"), "key", "id").count() == 2000 * 1999 // 2
 
 
+def test_a_late_common_word_makes_no_pairs(spark):
+    """2,000 records of one size whose common word has too few words behind it: all pairs of the bucket would be 1,999,000."""
+    rows = spark.range(2000).selectExpr("id", "40 AS n", "array(7) AS keys", "array(12) AS keys_at", "CAST(array() AS array<int>) AS hot", "CAST(array() AS array<int>) AS hot_at", "0L AS s0", "0L AS s1", "0L AS s2", "0L AS s3")
+    assert neardup.prefix_pairs(rows, 0.7).count() == 0
+    early = rows.where("id < 30").withColumn("keys_at", F.expr("array(CAST(id % 3 AS int))"))
+    assert neardup.prefix_pairs(early, 0.7).count() == 30 * 29 // 2
+
+
+def test_groups_are_paired_like_brute_force(monkeypatch):
+    rng = random.Random(5)
+    base = [rng.sample(range(300), rng.randint(3, 40)) for _ in range(25)]
+    sets = [sorted({w if rng.random() > 0.08 else rng.randrange(300) for w in b[rng.randint(0, 2) :]}) for b in base for _ in range(6)]
+    rows = sorted((w, i, len(s) << 32 | at << 2, sum(1 << x % 63 for x in s if sum(y % 63 == x % 63 for y in s) % 2 and x == min(y for y in s if y % 63 == x % 63))) for i, s in enumerate(sets) for at, w in enumerate(s[: prefixes.prefix_length(len(s), 0.7)]))
+    groups, ids, meta, bitmap = (np.array(c, dtype=np.int64) for c in zip(*rows))
+    want = {(i, j) for (i, a), (j, b) in combinations(enumerate(sets), 2) if len(set(a) & set(b)) / len(set(a) | set(b)) >= 0.7}
+    for at_once in (3, 1 << 20):
+        monkeypatch.setattr(neardup, "PAIRS_AT_ONCE", at_once)
+        got = {(int(i), int(j)) for a, b in neardup.pairs_in(groups, ids, meta, [bitmap], 0.7) for i, j in zip(a, b)}
+        assert len(want) > 50 and want <= got and all(i < j for i, j in got) and len(got) < len(sets) ** 2 // 20
+
+
+def test_counts_keep_rare_words_apart_in_large_vocabularies(spark):
+    """400,000 words of one text each and one word in 200 texts: with 32,768 cells every word seems to be in several texts."""
+    texts = [" ".join(f"x{i}y{k}" for k in range(2000)) + " shared" for i in range(200)]
+    counts, _ = stored.count_table(spark.createDataFrame([(t,) for t in texts], "text string"), "text", bits=neardup.COUNT_BITS, rows=1)
+    rare = stored.counts_of(counts, stored.word_hashes(texts[0].removesuffix(" shared")))
+    assert (rare == 1).mean() > 0.75 and np.percentile(rare, 99) <= 4 and stored.counts_of(counts, stored.word_hashes("shared"))[0] >= 200
+
+
 def test_stored_tables_can_be_released(spark):
     import glob
 
