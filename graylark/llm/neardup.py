@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from graylark.llm import prefixes as P
 from graylark.llm.batches import spread
-from graylark.llm.prefixes import PARITY, prefixes
+from graylark.llm.prefixes import PARITY, may_reach, prefixes
 from graylark.llm.stored import count_table, discard, distinct_texts, stored, word_hashes
 
 #: Bits of the cell number in the word counts: far more cells than the few hundred thousand words that many texts share, so
@@ -156,7 +156,10 @@ def prefix_pairs(own: DataFrame, threshold: float) -> DataFrame:
         if held:
             yield from paired([np.concatenate(x) for x in zip(*held)])
 
-    return every.repartition("g").sortWithinPartitions("g").mapInArrow(run, "a bigint, b bigint").distinct()
+    near = every.repartition("g").sortWithinPartitions("g").mapInArrow(run, "a bigint, b bigint").distinct()
+    whole = F.struct("n", *PARITY)  # the whole bitmaps rule out most of what the folded ones let through, before word sets are shuffled
+    p, q = own.select(F.col("id").alias("a"), whole.alias("p")), own.select(F.col("id").alias("b"), whole.alias("q"))
+    return near.join(p, "a").join(q, "b").where(may_reach("p", "q", threshold)).select("a", "b").distinct()
 
 
 def exact_pairs(pairs: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
